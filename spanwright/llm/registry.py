@@ -1,11 +1,13 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from spanwright.llm import packing, warc
+from spanwright.llm import packing, substring, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op5_warc_archive": warc.op5_warc_archive,
 }
 ORACLES = {
+    "op2_substring_dedup": substring.OP2_SQL,
     "op5_warc_archive": warc.OP5_SQL,
 }
