@@ -1,12 +1,14 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from spanwright.llm import neardup, packing, substring, warc
+from spanwright.llm import langid, lmscore, neardup, packing, substring, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op5_warc_archive": warc.op5_warc_archive,
+    "op6_language_id": langid.op6_language_id,
+    "op10_lm_scoring": lmscore.op10_lm_scoring,
 }
 ORACLES = {
     "op2_substring_dedup": substring.OP2_SQL,
