@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from spanwright.llm import langid, lmscore, neardup, packing, substring, warc
+from spanwright.llm import langid, lmscore, neardup, packing, substring, topk, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -8,9 +8,11 @@ QUERIES = {
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op5_warc_archive": warc.op5_warc_archive,
     "op6_language_id": langid.op6_language_id,
+    "op7_exact_topk": topk.op7_exact_topk,
     "op10_lm_scoring": lmscore.op10_lm_scoring,
 }
 ORACLES = {
     "op2_substring_dedup": substring.OP2_SQL,
     "op5_warc_archive": warc.OP5_SQL,
+    "op7_exact_topk": topk.OP7_SQL,
 }
