@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from spanwright.llm import langid, lmscore, neardup, packing, substring, topk, warc
+from spanwright.llm import langid, lmscore, neardup, packing, substring, tokens, topk, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_warc_archive": warc.op5_warc_archive,
     "op6_language_id": langid.op6_language_id,
     "op7_exact_topk": topk.op7_exact_topk,
+    "op8_token_packing": tokens.op8_token_packing,
     "op10_lm_scoring": lmscore.op10_lm_scoring,
 }
 ORACLES = {
