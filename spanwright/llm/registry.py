@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from spanwright.llm import langid, lmscore, neardup, packing, substring, tokens, topk, warc
+from spanwright.llm import langid, lmscore, neardup, packing, sampling, substring, tokens, topk, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_token_packing": tokens.op8_token_packing,
+    "op9_sentencepiece_sampling": sampling.op9_sentencepiece_sampling,
     "op10_lm_scoring": lmscore.op10_lm_scoring,
 }
 ORACLES = {
