@@ -1,4 +1,6 @@
-"""Registry of the engine's queries and of the SQL that checks them."""
+"""All queries of the engine and the SQL of those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from spanwright.plans import detection  # noqa: F401
+from spanwright.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
