@@ -62,7 +62,10 @@ LOOSE = [
     Rule("account_number", rf"{starts('756')}[.]?{D}{{4}}[.]?{D}{{4}}[.]?{D}{{2}}{END}", lambda t: t.contains("756")),
     Rule("private_date", rf"{starts(D)}{D}?\.{D}{{1,2}}\.(?:{D}{{4}}|{D}{{2}}){END}", _digits4),
 ]
-_STRUCT_NONE = F.array().cast(f"array<{FOUND}>")
+
+
+def _nothing() -> Column:
+    return F.array().cast(f"array<{FOUND}>")
 
 
 def _by_rule(text: Column, rule: Rule) -> Column:
@@ -75,13 +78,13 @@ def _by_rule(text: Column, rule: Rule) -> Column:
     if rule.reject is not None:
         hits = F.filter(hits, lambda h: ~rule.reject(text, h["start"], h["end"]))
     named = F.transform(hits, lambda h: F.struct(h["start"], h["end"], h["text"], F.lit(rule.label).alias("label"), F.lit(rule.subtype).cast("string").alias("subtype")).cast(FOUND))
-    return F.when(rule.hint(text), named).otherwise(_STRUCT_NONE)
+    return F.when(rule.hint(text), named).otherwise(_nothing())
 
 
 def find_spans(text: Column, rules: list[Rule] = STRICT) -> Column:
     """array of struct(start, end, text, label, subtype): all rules' matches, the leftmost and longest first, without overlaps. Null texts have none."""
     found = F.concat(*(_by_rule(text, r) for r in rules))
-    return F.coalesce(spans.drop_overlapping(spans.by_start_longest(found), FOUND), _STRUCT_NONE)
+    return F.coalesce(spans.drop_overlapping(spans.by_start_longest(found), FOUND), _nothing())
 
 
 def composite(text: Column, model: Callable[[Column], Column], rules: list[Rule] = STRICT) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from spanwright.functions.spans import let
 from spanwright.functions.text import END, START
 
-_NONE = F.lit(False)
+
+def _no() -> Column:
+    return F.lit(False)
 
 
 def digits(value: Column) -> Column:
@@ -30,14 +32,14 @@ def luhn(value: Column) -> Column:
     """Payment cards: 13 to 19 digits whose Luhn sum is a multiple of ten."""
     doubled = lambda x, i: F.when(i % 2 == 1, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x)
     right = lambda d: (F.size(d) >= 13) & (F.size(d) <= 19) & (_sum(F.transform(d, doubled)) % 10 == 0)
-    return F.coalesce(let(_digit_array(F.reverse(digits(value))), right), _NONE)
+    return F.coalesce(let(_digit_array(F.reverse(digits(value))), right), _no())
 
 
 def iban_ch(value: Column) -> Column:
     """CH, two check digits and 17 digits, which modulo 97 leave one."""
     bare = F.regexp_replace(value, "[ -]", "")
     number = F.concat(F.substring(bare, 5, 17), F.lit("1217"), F.substring(bare, 3, 2))
-    return F.coalesce(bare.rlike("^CH[0-9]{19}$") & (number.try_cast("decimal(38,0)") % 97 == 1), _NONE)
+    return F.coalesce(bare.rlike("^CH[0-9]{19}$") & (number.try_cast("decimal(38,0)") % 97 == 1), _no())
 
 
 def ahv(value: Column) -> Column:
@@ -45,7 +47,7 @@ def ahv(value: Column) -> Column:
     d = _digit_array(digits(value))
     weighted = F.transform(F.slice(d, 1, 12), lambda x, i: F.when(i % 2 == 1, 3 * x).otherwise(x))
     right = F.pmod(10 - _sum(weighted) % 10, F.lit(10)) == F.element_at(d, 13)
-    return F.coalesce(F.when(digits(value).rlike("^756[0-9]{10}$"), right), _NONE)
+    return F.coalesce(F.when(digits(value).rlike("^756[0-9]{10}$"), right), _no())
 
 
 def vat_che(value: Column) -> Column:
@@ -53,7 +55,7 @@ def vat_che(value: Column) -> Column:
     d = _digit_array(F.substring(digits(value), 1, 9))
     weights = F.array(*(F.lit(w) for w in (5, 4, 3, 2, 7, 6, 5, 4)))
     check = F.pmod(11 - _sum(F.zip_with(F.slice(d, 1, 8), weights, lambda x, w: x * w)) % 11, F.lit(11))
-    return F.coalesce(F.when(F.length(digits(value)) >= 9, check == F.element_at(d, 9)), _NONE)
+    return F.coalesce(F.when(F.length(digits(value)) >= 9, check == F.element_at(d, 9)), _no())
 
 
 # ---------------------------------------------------------------- context
@@ -75,7 +77,7 @@ REFERENCE_WORDS = ["doi:", "doi ", "issn", "isbn", "patent"]
 
 
 def has_any(text: Column, words: list[str]) -> Column:
-    out = _NONE
+    out = _no()
     for w in words:
         out = out | text.contains(w)
     return out

@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanwright.schema import TAGS
 
@@ -32,7 +33,7 @@ def lit_map(values: dict) -> Column:
 _BEYOND_LATIN = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_fold(values: pd.Series) -> pd.Series:
     """NFKC, case folding, white space collapsed; for what expressions can't fold."""
     return values.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split()))

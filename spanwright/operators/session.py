@@ -12,10 +12,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spanwright.functions import spans as S
 from spanwright.functions.text import PLACEHOLDER, fold, label_tag
+from spanwright.schema import SPAN
 
 C = F.col
 MAP_KEY = ["session_id", "tag", "key"]
@@ -80,7 +82,7 @@ def apply_spans(texts: DataFrame, normalizers: dict[str, Callable[[Column], Colu
     return done, table
 
 
-@F.pandas_udf("redacted string, spans array<struct<start:int,end:int,label:string>>")
+@F.pandas_udf(T.StructType([T.StructField("redacted", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))]))
 def recover_occurrences(text: pd.Series, redacted: pd.Series, spans: pd.Series, entries: pd.Series) -> pd.DataFrame:
     """Whole-word occurrences of known surfaces, replaced in the redacted text and added to the spans of the text."""
     out_text, out_spans = [], []

@@ -197,10 +197,15 @@ def fill(text: Column, values: Callable[[Column, Column, Column], Column]) -> Co
     return let(find_all(text, MARKER), done)
 
 
+def once(made: Column) -> Column:
+    """A generator of the one value, which later expressions can't inline and so compute again and again."""
+    return F.explode(F.array(made))
+
+
 def render(templates: DataFrame, renders: int, seed: int) -> DataFrame:
     """template_id, language, render, text, spans: each template `renders` times. templates: template_id, language, text."""
     rows = templates.withColumn("render", F.explode(F.sequence(F.lit(0), F.lit(renders - 1))))
-    made = rows.withColumn("f", fill(C("text"), lambda label, fmt, n: value(label, fmt, seed_of(seed, C("template_id"), C("render"), n), C("language"))))
+    made = rows.withColumn("f", once(fill(C("text"), lambda label, fmt, n: value(label, fmt, seed_of(seed, C("template_id"), C("render"), n), C("language")))))
     return made.select("template_id", "language", "render", C("f.text").alias("text"), C("f.spans").alias("spans"))
 
 
