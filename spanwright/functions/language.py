@@ -28,9 +28,12 @@ def decide(text: Column, subset: Column, code: Column, score: Column, least: flo
 
 
 def stop_word_score(text: Column) -> Column:
-    """struct(code, score): the language with the greatest share of its frequent words; ties to the first code."""
+    """struct(code, score): the language with the greatest share of its frequent words; ties to the last code."""
     words = F.filter(F.split(F.lower(collapse(text)), r"[^\p{L}]+"), lambda w: w != "")
-    shares = F.array(*(F.struct((F.size(F.filter(words, lambda w, s=stops: w.isin(*s))) / F.greatest(F.size(words), F.lit(1))).alias("score"), F.lit(code).alias("code")) for code, stops in sorted(STOP_WORDS.items(), reverse=True)))
+    def share(stops: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*stops))) / F.greatest(F.size(words), F.lit(1))
+
+    shares = F.array(*(F.struct(share(stops).alias("score"), F.lit(code).alias("code")) for code, stops in sorted(STOP_WORDS.items())))
     best = F.array_max(shares)
     return F.struct(best["code"].alias("code"), F.least(best["score"] * 3, F.lit(1.0)).alias("score"))
 
