@@ -40,23 +40,23 @@ def starts(first: str) -> str:
 
 #: Order counts: of matches that start together and are as long, the first rule's wins.
 STRICT = [
-    Rule("private_email", rf"{START}[{WORD}.%+\-]+@[{WORD}.\-]+\.[A-Za-z]{{2,}}{END}", lambda t: t.contains("@")),
-    Rule("private_url", rf"https?://[^{BLANK})>\]]+", lambda t: t.contains("://"), trims_url=True),
-    Rule("private_phone", rf"(?:\+41|0041|{starts('0')})[{BLANK}]?(?:\(0\)[{BLANK}]?)?{D}{{2}}[{BLANK}\-/.]?{D}{{3}}[{BLANK}\-/.]?{D}{{2}}[{BLANK}\-/.]?{D}{{2}}{END}", _digits4, "swiss_phone", None, checks.implausible_phone),
+    Rule("private_email", rf"{START}[{WORD}+%.\-]+@[{WORD}\-.]+\.[a-zA-Z]{{2,}}{END}", lambda t: t.contains("@")),
+    Rule("private_url", rf"https?://[^{BLANK}>)\]]+", lambda t: t.contains("://"), trims_url=True),
+    Rule("private_phone", rf"(?:\+41|0041|{starts('0')})(?:[{BLANK}]?\(0\))?[{BLANK}]?{D}{{2}}[{BLANK}\-/.]?{D}{{3}}[{BLANK}\-/.]?{D}{{2}}[{BLANK}\-/.]?{D}{{2}}{END}", _digits4, "swiss_phone", None, checks.implausible_phone),
     Rule("account_number", rf"{starts('CH')}{D}{{2}}(?:{GAP}{D}){{17}}{END}", lambda t: t.contains("CH"), "iban_ch", checks.iban_ch),
     Rule("account_number", rf"{starts('756')}\.{D}{{4}}\.{D}{{4}}\.{D}{{2}}{END}", lambda t: t.contains("756."), "ahv", checks.ahv),
     Rule("account_number", rf"{starts('756')}{D}{{10}}{END}", lambda t: t.contains("756"), "ahv", checks.ahv),
-    Rule("account_number", rf"{starts('CHE-')}{D}{{3}}\.{D}{{3}}\.{D}{{3}}(?:[{BLANK}]+(?:MWST|TVA|IVA))?{END}", lambda t: t.contains("CHE-"), "vat_che", checks.vat_che),
+    Rule("account_number", rf"{starts('CHE-')}{D}{{3}}\.{D}{{3}}\.{D}{{3}}(?:[{BLANK}]+(?:IVA|MWST|TVA))?{END}", lambda t: t.contains("CHE-"), "vat_che", checks.vat_che),
     Rule("account_number", rf"{starts(D)}{GAP}(?:{D}{GAP}){{14,15}}{D}{END}", _digits4, "credit_card", checks.luhn, checks.in_numeric_table),
     Rule("private_date", rf"{starts(D)}(?:{D}?[./]{D}{{1,2}}[./]{D}{{4}}|{D}{{3}}[./\-]{D}{{1,2}}[./\-]{D}{{1,2}}){END}", _digits4),
-    Rule("secret", rf"{starts('sk-')}(?:proj-)?[A-Za-z0-9_\-]{{20,}}{END}", lambda t: t.contains("sk-"), "openai_key"),
-    Rule("secret", rf"{starts('ghp_')}[A-Za-z0-9]{{36}}{END}", lambda t: t.contains("ghp_"), "github_pat"),
-    Rule("secret", rf"{starts('AKIA')}[A-Z0-9]{{16}}{END}", lambda t: t.contains("AKIA"), "aws_access_key"),
+    Rule("secret", rf"{starts('sk-')}(?:proj-)?[\-0-9A-Z_a-z]{{20,}}{END}", lambda t: t.contains("sk-"), "openai_key"),
+    Rule("secret", rf"{starts('ghp_')}[0-9A-Za-z]{{36}}{END}", lambda t: t.contains("ghp_"), "github_pat"),
+    Rule("secret", rf"{starts('AKIA')}[0-9A-Z]{{16}}{END}", lambda t: t.contains("AKIA"), "aws_access_key"),
 ]
 #: A looser one without check digits and context; two-digit years count.
 LOOSE = [
-    Rule("private_email", rf"{START}[{WORD}.%+\-]+@[{WORD}.\-]+\.[A-Za-z]{{2,}}{END}", lambda t: t.contains("@")),
-    Rule("private_url", rf"https?://[^{BLANK})>\]]+", lambda t: t.contains("://"), trims_url=True),
+    Rule("private_email", rf"{START}[{WORD}+%.\-]+@[{WORD}\-.]+\.[a-zA-Z]{{2,}}{END}", lambda t: t.contains("@")),
+    Rule("private_url", rf"https?://[^{BLANK}>)\]]+", lambda t: t.contains("://"), trims_url=True),
     Rule("private_phone", rf"(?:\+41|0041|{starts('0')})[{BLANK}]?{D}{{2}}[{BLANK}]?{D}{{3}}[{BLANK}]?{D}{{2}}[{BLANK}]?{D}{{2}}{END}", _digits4),
     Rule("account_number", rf"{starts('CH')}{D}{{2}}(?:{GAP}{D}){{17}}{END}", lambda t: t.contains("CH")),
     Rule("account_number", rf"{starts('756')}[.]?{D}{{4}}[.]?{D}{{4}}[.]?{D}{{2}}{END}", lambda t: t.contains("756")),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from spanwright.functions.spans import let
 from spanwright.functions.text import END, START
 
+VAT_WEIGHTS = [int(w) for w in "54327654"]
+
 
 def _no() -> Column:
     return F.lit(False)
@@ -53,12 +55,12 @@ def ahv(value: Column) -> Column:
 def vat_che(value: Column) -> Column:
     """Company numbers: the ninth digit checks the first eight modulo 11; ten is never valid, later digits don't count."""
     d = _digit_array(F.substring(digits(value), 1, 9))
-    weights = F.array(*(F.lit(w) for w in (5, 4, 3, 2, 7, 6, 5, 4)))
+    weights = F.array(*(F.lit(w) for w in VAT_WEIGHTS))
     check = F.pmod(11 - _sum(F.zip_with(F.slice(d, 1, 8), weights, lambda x, w: x * w)) % 11, F.lit(11))
     return F.coalesce(F.when(F.length(digits(value)) >= 9, check == F.element_at(d, 9)), _no())
 
 
-# ---------------------------------------------------------------- context
+# -- context
 
 
 def before(text: Column, start: Column, n: int) -> Column:
@@ -71,9 +73,9 @@ def after(text: Column, end: Column, n: int) -> Column:
     return F.lower(F.substring(text, end + 1, F.lit(n)))
 
 
-CARD_WORDS = ["karte", "card", "visa", "amex", "cvv", "kontonummer", "pan ", "credit "]
-DEVICE_WORDS = ["imei", "serial", "seriennummer"]
-REFERENCE_WORDS = ["doi:", "doi ", "issn", "isbn", "patent"]
+CARD_WORDS = ["amex", "card", "credit ", "cvv", "karte", "kontonummer", "pan ", "visa"]
+DEVICE_WORDS = ["seriennummer", "serial", "imei"]
+REFERENCE_WORDS = ["patent", "isbn", "issn", "doi ", "doi:"]
 
 
 def has_any(text: Column, words: list[str]) -> Column:

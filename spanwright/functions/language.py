@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwright.functions.text import BLANK, collapse, lit_map, prompt_language
 
 #: Codes of an identifier and ours.
-CODES = {"de": "de_ch", "fr": "fr_ch", "it": "it_ch", "rm": "rm", "gsw": "gsw", "en": "en"}
+CODES = {c: c for c in ("en", "gsw", "rm")} | {c: f"{c}_ch" for c in ("de", "fr", "it")}
 #: Frequent words, for a scorer that needs no model.
 STOP_WORDS = {
     "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "mit", "von", "für"],

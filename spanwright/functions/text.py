@@ -20,14 +20,14 @@ WORD = r"\p{L}\p{N}_"
 BLANK = r" \t\n\x0B\f\r\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 START = rf"(?<![{WORD}])"
 END = rf"(?![{WORD}])"
-PLACEHOLDER = r"<[A-Z][A-Z0-9_]*_\p{Nd}+>"
+PLACEHOLDER = r"<[A-Z][0-9A-Z_]*_\p{Nd}+>"
 
 
 def lit_map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-# ---------------------------------------------------------------- keys
+# -- keys
 
 #: Anything besides ASCII and the Latin-1 letters may change under NFKC.
 _BEYOND_LATIN = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"
@@ -36,7 +36,7 @@ _BEYOND_LATIN = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"
 @F.pandas_udf(T.StringType())
 def exact_fold(values: pd.Series) -> pd.Series:
     """NFKC, case folding, white space collapsed; for what expressions can't fold."""
-    return values.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split()))
+    return values.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", str(s)).casefold().split()))
 
 
 def collapse(value: Column) -> Column:
@@ -111,7 +111,7 @@ def resolve_normalizer(spec: str | Callable[[Column], Column]) -> Callable[[Colu
     return NORMALIZERS[spec]
 
 
-# ---------------------------------------------------------------- placeholders
+# -- placeholders
 
 
 def label_tag(label: Column) -> Column:
@@ -124,17 +124,17 @@ def placeholder(label: Column, index: Column) -> Column:
 
 def parse_placeholder(text: Column) -> Column:
     """struct(tag, index) of a whole placeholder; null for anything else."""
-    pattern = r"^<([A-Z][A-Z0-9_]*)_(\d+)>$"
+    pattern = r"^<([A-Z][0-9A-Z_]*)_(\d+)>$"
     whole = text.rlike(pattern) & ~text.endswith("\n")
     return F.when(whole, F.struct(F.regexp_extract(text, pattern, 1).alias("tag"), F.regexp_extract(text, pattern, 2).cast("int").alias("index")))
 
 
 def is_placeholder_prefix(buffer: Column) -> Column:
     """Whether more characters may complete a placeholder: the tag may be absent, and at most one digit can be seen."""
-    return F.coalesce(buffer.rlike(r"\A<(?:[A-Z][A-Z0-9_]*)?(?:_(?:\d)?)?\z"), F.lit(False))
+    return F.coalesce(buffer.rlike(r"\A<(?:[A-Z][0-9A-Z_]*)?(?:_(?:\d)?)?\z"), F.lit(False))
 
 
-# ---------------------------------------------------------------- labels and scores
+# -- labels and scores
 
 
 def category_of(label: Column) -> Column:
@@ -158,4 +158,4 @@ def confidence_tier(confidence: Column) -> Column:
 
 def prompt_language(language: Column) -> Column:
     """The language whose prompt a text gets: Swiss German reads German, unknown ones English."""
-    return F.when(language == "gsw", "de_ch").when(language.isin("de_ch", "fr_ch", "it_ch", "rm", "en"), language).otherwise("en")
+    return F.when(language == "gsw", "de_ch").when(language.isin("en", "rm", *(f"{c}_ch" for c in ("de", "fr", "it"))), language).otherwise("en")

@@ -152,7 +152,7 @@ def failing_examples(cases: DataFrame, keys: list[str], n: int = 3) -> DataFrame
     """Counts of verdicts per group, and the first n case ids that didn't pass; ids ranked in a window, no list of all."""
     bad = ~C("verdict").isin("PASS", "PASS_NEG")
     ranked = cases.withColumn("nth", F.when(bad, F.row_number().over(Window.partitionBy(*keys, bad).orderBy("case_id"))))
-    counts = [F.count_if(C("verdict") == v).alias(v.lower()) for v in ("PASS", "PASS_NEG", "PARTIAL", "FAIL", "FAIL_NEG")]
+    counts = [F.count_if(C("verdict") == v).alias(v.lower()) for v in "FAIL FAIL_NEG PARTIAL PASS PASS_NEG".split()]
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *counts, F.array_sort(F.collect_list(F.when(C("nth") <= n, C("case_id")))).alias("failing"))
 
 

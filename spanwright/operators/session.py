@@ -90,9 +90,9 @@ def recover_occurrences(text: pd.Series, redacted: pd.Series, spans: pd.Series,
         kept = [] if found is None else [(s["start"], s["end"], s["label"]) for s in found]
         if known is not None and len(known) and kept:
             label_of = {t[a:b]: label for a, b, label in kept}
-            more: list[tuple[int, int, str]] = []
+            more: list = []
             for e in sorted(known, key=lambda e: -len(e["surface"])):
-                whole = re.compile(rf"(?<!\w){re.escape(e['surface'])}(?!\w)")
+                whole = re.compile("(?<!\\w)%s(?!\\w)" % re.escape(e["surface"]))
                 r = whole.sub(lambda _, mark=e["mark"]: mark, r)
                 label = label_of.get(e["surface"])
                 if label is not None:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.functions.checks import VAT_WEIGHTS
 from spanwright.functions.spans import find_all, let
 
 C = F.col
@@ -73,7 +74,7 @@ def ahv(h: Column) -> Column:
 
 def vat(h: Column) -> Column:
     """The first of two numbers whose check digit isn't ten: adding one to the last of the eight changes the sum by four."""
-    weights = [5, 4, 3, 2, 7, 6, 5, 4]
+    weights = VAT_WEIGHTS
 
     def whole(body: Column) -> Column:
         check = F.pmod(11 - _weighted(body, weights) % 11, F.lit(11))
@@ -99,11 +100,11 @@ def card(h: Column) -> Column:
 
 
 _MONTHS = {
-    "de_ch": ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"],
-    "fr_ch": ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"],
-    "it_ch": ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"],
-    "rm": ["schaner", "favrer", "mars", "avrigl", "matg", "zercladur", "fanadur", "avust", "settember", "october", "november", "december"],
-    "en": ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"],
+    "de_ch": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr_ch": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "it_ch": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split(),
+    "rm": "schaner favrer mars avrigl matg zercladur fanadur avust settember october november december".split(),
+    "en": "January February March April May June July August September October November December".split(),
 }
 
 

@@ -12,7 +12,7 @@ from spanwright.schema import REAL_SOURCES, SYNTHETIC_SOURCES
 
 C = F.col
 
-# ---------------------------------------------------------------- claims of five sources on the words of each document
+# -- claims of five sources on the words of each document
 
 _CAT = CATEGORY.format(n="doc_id * 31 + i * 7")
 _CLAIMS = [
@@ -119,7 +119,7 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("signal", "n_spans", "n_chunks", F.round(100.0 * C("n_chunks") / C("total"), 4).alias("coverage"))
 
 
-# ---------------------------------------------------------------- chunks: the line items, a document per order
+# -- chunks: the line items, a document per order
 
 _SUBSETS = [*REAL_SOURCES, *SYNTHETIC_SOURCES]
 _SUBSET = "CASE l_partkey % 13 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SUBSETS)) + " END"

@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.functions import catalogue, spans
+from spanwright.functions import catalogue, checks, spans
 from spanwright.plans.fixtures import PII_DOCS_SQL, WORDS_SQL, load, pii_docs, words
 from spanwright.plans.registry import query
 
 W = r"[\p{L}\p{N}_]"
+_MAIL = r"\b[\p{L}\p{N}_+%.\-]+@[\p{L}\p{N}_\-.]+\.[a-zA-Z]{2,}\b"
+_LINK = r"https?://[^>)\]\s]+"
+_LEAD = "|".join([r"\+41", "0041", r"\b0"])
+_SEP = r"[./\s\-]?"
+_PARTS = [f"[0-9]{{{n}}}" for n in (2, 3, 2, 2)]
+_BANK = r"\bCH[0-9]{2}(?:[-\s]?[0-9]){17}\b"
 #: label, subtype, pattern for an engine without lookaround, its validator and its context rule by name.
 _SQL_RULES = [
-    ("private_email", None, r"\b[\p{L}\p{N}_.%+\-]+@[\p{L}\p{N}_.\-]+\.[A-Za-z]{2,}\b", None, None),
-    ("private_url", None, r"https?://[^\s)>\]]+", None, None),
-    ("private_phone", "swiss_phone", r"(?:\+41|0041|\b0)\s?(?:\(0\)\s?)?\d{2}[\s\-/.]?\d{3}[\s\-/.]?\d{2}[\s\-/.]?\d{2}\b", None, "phone"),
-    ("account_number", "iban_ch", r"\bCH\d{2}(?:[\s\-]?\d){17}\b", "iban", None),
-    ("account_number", "ahv", r"\b756\.\d{4}\.\d{4}\.\d{2}\b", "ahv", None),
-    ("account_number", "ahv", r"\b756\d{10}\b", "ahv", None),
-    ("account_number", "vat_che", r"\bCHE-\d{3}\.\d{3}\.\d{3}(?:\s+(?:MWST|TVA|IVA))?\b", "vat", None),
-    ("account_number", "credit_card", r"\b(?:\d[\s\-]?){15,16}\d\b", "luhn", "table"),
-    ("private_date", None, r"\b(?:\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}[./\-]\d{1,2}[./\-]\d{1,2})\b", None, None),
-    ("secret", "openai_key", r"\bsk-(?:proj-)?[A-Za-z0-9_\-]{20,}\b", None, None),
-    ("secret", "github_pat", r"\bghp_[A-Za-z0-9]{36}\b", None, None),
-    ("secret", "aws_access_key", r"\bAKIA[A-Z0-9]{16}\b", None, None),
+    ("private_email", None, _MAIL, None, None),
+    ("private_url", None, _LINK, None, None),
+    ("private_phone", "swiss_phone", rf"(?:{_LEAD})(?:\s?\(0\))?\s?{_SEP.join(_PARTS)}\b", None, "phone"),
+    ("account_number", "iban_ch", _BANK, "iban", None),
+    ("account_number", "ahv", r"\b756(?:\.[0-9]{4}){2}\.[0-9]{2}\b", "ahv", None),
+    ("account_number", "ahv", r"\b756[0-9]{10}\b", "ahv", None),
+    ("account_number", "vat_che", r"\bCHE-[0-9]{3}(?:\.[0-9]{3}){2}(?:\s+(?:IVA|MWST|TVA))?\b", "vat", None),
+    ("account_number", "credit_card", r"\b[0-9](?:[-\s]?[0-9]){15,16}\b", "luhn", "table"),
+    ("private_date", None, r"\b(?:[0-9]{4}(?:[-./][0-9]{1,2}){2}|(?:[0-9]{1,2}[./]){2}[0-9]{4})\b", None, None),
+    ("secret", "openai_key", r"\bsk-(?:proj-)?[-0-9A-Z_a-z]{20,}\b", None, None),
+    ("secret", "github_pat", r"\bghp_[0-9A-Za-z]{36}\b", None, None),
+    ("secret", "aws_access_key", r"\bAKIA[0-9A-Z]{16}\b", None, None),
 ]
 _SQL_LOOSE = [
-    ("private_email", None, r"\b[\p{L}\p{N}_.%+\-]+@[\p{L}\p{N}_.\-]+\.[A-Za-z]{2,}\b", None, None),
-    ("private_url", None, r"https?://[^\s)>\]]+", None, None),
-    ("private_phone", None, r"(?:\+41|0041|\b0)\s?\d{2}\s?\d{3}\s?\d{2}\s?\d{2}\b", None, None),
-    ("account_number", None, r"\bCH\d{2}(?:[\s\-]?\d){17}\b", None, None),
-    ("account_number", None, r"\b756[.]?\d{4}[.]?\d{4}[.]?\d{2}\b", None, None),
-    ("private_date", None, r"\b\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})\b", None, None),
+    ("private_email", None, _MAIL, None, None),
+    ("private_url", None, _LINK, None, None),
+    ("private_phone", None, rf"(?:{_LEAD})\s?" + r"\s?".join(_PARTS) + r"\b", None, None),
+    ("account_number", None, _BANK, None, None),
+    ("account_number", None, r"\b756(?:[.]?[0-9]{4}){2}[.]?[0-9]{2}\b", None, None),
+    ("private_date", None, r"\b(?:[0-9]{1,2}\.){2}(?:[0-9]{4}|[0-9]{2})\b", None, None),
 ]
 
 
@@ -58,7 +64,7 @@ def sql_ahv(v: str) -> str:
 
 def sql_vat(v: str) -> str:
     d = sql_digits(v)
-    total = " + ".join(f"CAST(substr({d}, {i}, 1) AS INT) * {w}" for i, w in zip(range(1, 9), (5, 4, 3, 2, 7, 6, 5, 4)))
+    total = " + ".join(f"CAST(substr({d}, {i}, 1) AS INT) * {w}" for i, w in zip(range(1, 9), checks.VAT_WEIGHTS))
     return f"CASE WHEN length({d}) >= 9 THEN (11 - ({total}) % 11) % 11 = CAST(substr({d}, 9, 1) AS INT) ELSE false END"
 
 
@@ -66,7 +72,7 @@ def sql_before(n: int) -> str:
     return f"lower(substr(text, greatest(s - {n}, 0) + 1, s - greatest(s - {n}, 0)))"
 
 
-_REFERENCES = ["doi:", "doi ", "issn", "isbn", "patent"]
+_REFERENCES = ["patent", "isbn", "issn", "doi ", "doi:"]
 
 
 def sql_any(text: str, words: list[str]) -> str:
@@ -79,7 +85,7 @@ def sql_table() -> str:
     groups = r"regexp_extract_all(v, '\d+')"
     listed = f"(len({groups}) >= 6 AND len(list_filter({groups}, lambda x: length(x) > 3)) <= 1)"
     alone = rf"len(list_filter(regexp_split_to_array({around}, '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '\d+'))) >= 3"
-    return f"CASE WHEN {sql_any(window, ['karte', 'card', 'visa', 'amex', 'cvv', 'kontonummer', 'pan ', 'credit '])} THEN false ELSE {sql_any(window, ['imei', 'serial', 'seriennummer', *_REFERENCES])} OR {listed} OR {alone} END"
+    return f"CASE WHEN {sql_any(window, ['amex', 'card', 'credit ', 'cvv', 'karte', 'kontonummer', 'pan ', 'visa'])} THEN false ELSE {sql_any(window, ['seriennummer', 'serial', 'imei', *_REFERENCES])} OR {listed} OR {alone} END"
 
 
 def sql_phone() -> str:

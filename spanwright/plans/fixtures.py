@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwright.functions.checks import VAT_WEIGHTS
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +34,7 @@ _AHV_CHECK = f"((10 - ({_AHV_SUM}) % 10) % 10)"
 _AHV = f"({_AHV_BODY} || CAST(CASE WHEN {K} % 4 = 0 THEN ({_AHV_CHECK} + 1) % 10 ELSE {_AHV_CHECK} END AS STRING))"
 AHV = f"(CASE WHEN {K} % 2 = 0 THEN {_AHV} ELSE substr({_AHV}, 1, 3) || '.' || substr({_AHV}, 4, 4) || '.' || substr({_AHV}, 8, 4) || '.' || substr({_AHV}, 12, 2) END)"
 _VAT_BODY = padded(f"10000000 + ({K} * 7907) % 89999999", 8)
-_VAT_SUM = " + ".join(f"{digit(_VAT_BODY, i)} * {w}" for i, w in zip(range(1, 9), (5, 4, 3, 2, 7, 6, 5, 4)))
+_VAT_SUM = " + ".join(f"{digit(_VAT_BODY, i)} * {w}" for i, w in zip(range(1, 9), VAT_WEIGHTS))
 _VAT_CHECK = f"((11 - ({_VAT_SUM}) % 11) % 11 % 10)"
 _VAT = f"({_VAT_BODY} || CAST({_VAT_CHECK} AS STRING))"
 VAT = f"('CHE-' || substr({_VAT}, 1, 3) || '.' || substr({_VAT}, 4, 3) || '.' || substr({_VAT}, 7, 3) || CASE WHEN {K} % 3 = 0 THEN ' MWST' ELSE '' END)"
@@ -48,7 +50,7 @@ DATE = f"(CASE WHEN {K} % 2 = 0 THEN CAST(1 + {K} % 28 AS STRING) || '.' || CAST
 _MD5 = f"md5(CAST({K} AS STRING))"
 SECRET = f"(CASE {K} % 3 WHEN 0 THEN 'ghp_' || {_MD5} || substr({_MD5}, 1, 4) WHEN 1 THEN 'AKIA' || upper(substr({_MD5}, 1, 16)) ELSE 'sk-proj-' || substr({_MD5}, 1, 24) END)"
 _CARD_CONTEXT = f"CASE {K} % 6 WHEN 0 THEN 'IMEI ' WHEN 1 THEN 'Karte ' WHEN 2 THEN 'Tabelle 12 7 2011 ' ELSE 'bezahlt mit ' END"
-_REFERENCE = f"CASE WHEN {K} % 8 = 0 THEN ' DOI: 10.1249/01.MSS.0000121945.36635.61 ' WHEN {K} % 8 = 1 THEN ' Skala 18 19 20 21 22 23 24 25 Ende' ELSE '' END"
+_REFERENCE = f"CASE WHEN {K} % 8 = 0 THEN ' DOI: 10.5555/07.ABC.0000345678.12345.67 ' WHEN {K} % 8 = 1 THEN ' Skala 18 19 20 21 22 23 24 25 Ende' ELSE '' END"
 TEXT = f"""(text || ' Kontakt: ' || {EMAIL} || ', ' || {URL} || ' Telefon ' || {PHONE} || '; Konto ' || {IBAN} || ' / AHV ' || {AHV}
  || ' / ' || {VAT} || '. Der Betrag wurde mit der folgenden Nummer am Schalter gebucht und danach ohne weiteren Vermerk abgelegt: ' || {_CARD_CONTEXT} || {CARD}
  || ' sowie am Tag ' || {DATE} || ' mit dem Schluessel ' || {SECRET} || {_REFERENCE})"""
@@ -60,7 +62,7 @@ def pii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{TEXT} AS text")
 
 
-# ---------------------------------------------------------------- words of each document's first part, as spans
+# -- words of each document's first part, as spans
 
 _FIRST = "substr(text, 1, 240)"
 CATEGORY = "CASE ({n}) % 8 WHEN 0 THEN 'account_number' WHEN 1 THEN 'private_address' WHEN 2 THEN 'private_date' WHEN 3 THEN 'private_email' WHEN 4 THEN 'private_person' WHEN 5 THEN 'private_phone' WHEN 6 THEN 'private_url' ELSE 'secret' END"

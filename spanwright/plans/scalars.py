@@ -82,7 +82,7 @@ def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAYBE = "CASE doc_id % 6 WHEN 0 THEN '<PERSON_' || CAST(doc_id AS STRING) || '>' WHEN 1 THEN '<A_1_2>' WHEN 2 THEN '<person_1>' WHEN 3 THEN '<PERSON_1' WHEN 4 THEN '<URL_7> ' ELSE '<_1>' END"
 
 
-@query("f08_parse_placeholder", f"SELECT doc_id, CASE WHEN regexp_full_match(v, '<[A-Z][A-Z0-9_]*_[0-9]+>') THEN regexp_extract(v, '^<([A-Z][A-Z0-9_]*)_([0-9]+)>$', 1) END AS tag, CASE WHEN regexp_full_match(v, '<[A-Z][A-Z0-9_]*_[0-9]+>') THEN CAST(regexp_extract(v, '^<([A-Z][A-Z0-9_]*)_([0-9]+)>$', 2) AS INTEGER) END AS idx FROM (SELECT doc_id, {_MAYBE} AS v FROM documents)")
+@query("f08_parse_placeholder", f"SELECT doc_id, CASE WHEN regexp_full_match(v, '<[A-Z][0-9A-Z_]*_[0-9]+>') THEN regexp_extract(v, '^<([A-Z][0-9A-Z_]*)_([0-9]+)>$', 1) END AS tag, CASE WHEN regexp_full_match(v, '<[A-Z][0-9A-Z_]*_[0-9]+>') THEN CAST(regexp_extract(v, '^<([A-Z][0-9A-Z_]*)_([0-9]+)>$', 2) AS INTEGER) END AS idx FROM (SELECT doc_id, {_MAYBE} AS v FROM documents)")
 def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = docs_with(spark, sf_dir, _MAYBE).select("doc_id", text.parse_placeholder(C("v")).alias("p"))
     return p.select("doc_id", C("p.tag").alias("tag"), C("p.index").alias("idx"))
@@ -91,7 +91,7 @@ def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SENTINELS = "substr(text, 1, 15) || '<PERSON_' || CAST(doc_id % 9 AS STRING) || '>' || substr(text, 16, 10) || '<b><URL_2><EMAIL_' || CAST(doc_id AS STRING) || '>'"
 
 
-@query("f09_find_placeholders", f"SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS s, v[i] AS v FROM (SELECT doc_id, v, g, unnest(generate_series(1, len(v))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '<[A-Z][A-Z0-9_]*_[0-9]+>') AS v, string_split_regex(t, '<[A-Z][A-Z0-9_]*_[0-9]+>') AS g FROM (SELECT doc_id, {_SENTINELS} AS t FROM documents)))")
+@query("f09_find_placeholders", f"SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS s, v[i] AS v FROM (SELECT doc_id, v, g, unnest(generate_series(1, len(v))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '<[A-Z][0-9A-Z_]*_[0-9]+>') AS v, string_split_regex(t, '<[A-Z][0-9A-Z_]*_[0-9]+>') AS g FROM (SELECT doc_id, {_SENTINELS} AS t FROM documents)))")
 def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = docs_with(spark, sf_dir, _SENTINELS).select("doc_id", F.explode(spans.find_all(C("v"), text.PLACEHOLDER)).alias("x"))
     return hits.select("doc_id", C("x.start").alias("s"), C("x.text").alias("v"))
@@ -100,7 +100,7 @@ def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUFFER = "CASE doc_id % 9 WHEN 0 THEN '<' WHEN 1 THEN '<P' WHEN 2 THEN '<PERSON_' WHEN 3 THEN '<PERSON_1' WHEN 4 THEN '<PERSON_1>' WHEN 5 THEN '<x' WHEN 6 THEN '<PERSON ' WHEN 7 THEN '<_1' ELSE '' END"
 
 
-@query("f10_placeholder_prefix", f"SELECT doc_id, regexp_full_match(v, '<([A-Z][A-Z0-9_]*)?(_[0-9]?)?') AS prefix FROM (SELECT doc_id, {_BUFFER} AS v FROM documents)")
+@query("f10_placeholder_prefix", f"SELECT doc_id, regexp_full_match(v, '<([A-Z][0-9A-Z_]*)?(_[0-9]?)?') AS prefix FROM (SELECT doc_id, {_BUFFER} AS v FROM documents)")
 def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_with(spark, sf_dir, _BUFFER).select("doc_id", text.is_placeholder_prefix(C("v")).alias("prefix"))
 

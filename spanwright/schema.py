@@ -54,7 +54,7 @@ TAGS = {
 CATEGORIES = sorted(TAGS)
 #: Outside first, then B, I, E, S of each category.
 LABELS = ["O", *(f"{p}-{c}" for c in CATEGORIES for p in "BIES")]
-LANGUAGES = ["de_ch", "fr_ch", "it_ch", "rm", "gsw", "en"]
-SIGNALS = ["audit", "gemma", "nemotron", "qwen", "regex", "synthetic"]
+LANGUAGES = "de_ch fr_ch it_ch rm gsw en".split()
+SIGNALS = "audit gemma nemotron qwen regex synthetic".split()
 REAL_SOURCES = ["curia_vista", "entscheidsuche", "fineweb", "romansh"]
 SYNTHETIC_SOURCES = [f"synthetic_{s}" for s in ("adversarial", "common_word", "docs", "emails", "forms", "multilang_docs", "rm_secrets", "short_form", "slot_fill")]

@@ -8,7 +8,7 @@ its deltas, in each channel that needs them; an end row releases what is held, s
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import typing
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: Longer than this nothing that is held back can become a placeholder.
 MOST_HELD = 64
 OUTPUT = "session_id long, channel string, seq long, text string"
-_WHOLE = re.compile(r"<[A-Z][A-Z0-9_]*_\d+>")
+_WHOLE = re.compile(r"<[A-Z][0-9A-Z_]*_\d+>")
 _PREFIX = re.compile(r"<(?:[A-Z][A-Z0-9_]*)?(?:_\d?)?")
 
 
@@ -62,7 +62,7 @@ class Restorer(StatefulProcessor):
         found = self.mapping.getValue((placeholder,)) if self.mapping.containsKey((placeholder,)) else None
         return placeholder if found is None else found[0]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values=None) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: typing.Iterator[pd.DataFrame], timer_values=None) -> typing.Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["seq"], kind="stable")
         held = self.held.get()[0] if self.held.exists() else ""
         out = []
