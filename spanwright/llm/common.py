@@ -45,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# ---------------------------------------------------------------- hashing
+# -- hashing
 
 _M = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

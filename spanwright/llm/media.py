@@ -271,7 +271,7 @@ def media_columns(images: DataFrame, id_col: str = "media_id", image_col: str =
     return images.select(ident(id_col).cast("long").alias("media_id"), ident(image_col).cast("binary").alias("image")).mapInArrow(read, MEDIA)
 
 
-# ---------------------------------------------------------------- an encoder, for images to read
+# -- an encoder, for images to read
 
 _DC = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]) + bytes(range(12))
 #: End of block in 2 bits, the shortest runs of small values in 4 to 6, all others in 10.

@@ -40,7 +40,7 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-# ---------------------------------------------------------------- 1
+# -- 1
 
 
 def bfd(lengths, most):
@@ -81,7 +81,7 @@ def test_packing_rows(spark, docs, corpus):
     assert packing.best_fit_pack(empty(spark)).count() == 0
 
 
-# ---------------------------------------------------------------- 2
+# -- 2
 
 
 def brute_repeats(corpus, size):
@@ -126,7 +126,7 @@ def test_cut_keeps_everything_else(spark, docs, corpus):
     assert substring.cut_repeats(empty(spark)).count() == 0 and substring.repeated_spans(empty(spark)).count() == 0
 
 
-# ---------------------------------------------------------------- 3
+# -- 3
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -156,7 +156,7 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
 
 
-# ---------------------------------------------------------------- 4
+# -- 4
 
 
 def test_jpeg_thumbnails_and_damage():
@@ -184,7 +184,7 @@ def test_media_rows(spark):
     assert out[0]["thumbnail"] == out[6]["thumbnail"] and out[1]["width"] is None
 
 
-# ---------------------------------------------------------------- 5
+# -- 5
 
 
 def test_archive_round_trip(spark):
@@ -199,7 +199,7 @@ def test_archive_round_trip(spark):
     assert flags == {4: (False, True), 5: (False, True), 6: (True, False)}
 
 
-# ---------------------------------------------------------------- 6
+# -- 6
 
 
 def test_kneser_ney_sums_to_one_and_matches_brute_force():
@@ -264,7 +264,7 @@ def test_identification(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
-# ---------------------------------------------------------------- 7
+# -- 7
 
 
 def test_top_k_is_exact(spark):
@@ -286,7 +286,7 @@ def test_top_k_is_exact(spark):
     assert len(got) == 230 and topk.top_k(df.limit(0)).count() == 0
 
 
-# ---------------------------------------------------------------- 8 and 9
+# -- 8 and 9
 
 
 def test_token_rows(spark, docs, corpus):
@@ -341,7 +341,7 @@ def test_segmentations_are_sampled_right_and_lossless(spark, docs):
     assert sampling.sample_pieces(empty(spark)).count() == 0
 
 
-# ---------------------------------------------------------------- 10
+# -- 10
 
 
 def test_lm_scores_match_brute_force(spark):
@@ -371,7 +371,7 @@ def test_lm_scores_match_brute_force(spark):
     assert lmscore.score(asked.limit(0), docs).count() == 0
 
 
-# ---------------------------------------------------------------- the pipeline
+# -- the pipeline
 
 
 def test_pipeline_stages(spark, tmp_path):
