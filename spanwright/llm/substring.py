@@ -35,7 +35,7 @@ from spanwright.llm.common import buffers, fresh, ident, mix, powers, range_hash
 
 SIZE = 50
 #: Bytes of text in a block, and counters (bytes of memory) in a shard.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 SHARD_BITS = 22
 #: Counters per window and row, at least: one window in 64 or fewer passes the prefilter by chance.
 LOAD = 8
