@@ -9,10 +9,12 @@ hold a Poisson number of darts. A dart's hash names one of k coordinates; each c
 least rank. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 A document that left a coordinate empty throws again with twice the darts.
 
-Documents with equal signatures are one vertex. Bands of the signatures give buckets; in each bucket every
-document is paired with the least doc_id and with its predecessor, a number of pairs linear in the bucket,
-and pairs whose signatures agree in `threshold` of the coordinates are edges. Connected components,
-found by alternating large and small stars, are the groups; the least doc_id of each stays.
+Documents with equal signatures are one vertex. Bands of the signatures give buckets, and pairs of a bucket
+whose signatures agree in `threshold` of the coordinates are edges. Connected components, found by alternating
+large and small stars, are the groups; the least doc_id of each stays. Two steps find the same components as all
+pairs of all buckets would: first every document is paired with its bucket's least doc_id and its predecessor, a
+number of pairs linear in the bucket; then, in buckets of four or more that still hold several components, all
+pairs of different components are compared, blocks of a bucket's documents in tasks of their own.
 
 Defined results: null and empty texts, and null doc_ids, belong to no group. Rows that repeat a doc_id are one
 vertex under the least of their signatures. An empty table gives no rows. Other columns are ignored.
@@ -38,6 +40,8 @@ THRESHOLD = 0.45
 DARTS = 1024
 #: Total weight up to which ranks fall into one class.
 _BASE = 8192
+#: Documents of a bucket that meet in one task; larger buckets are split into pairs of blocks.
+CROWD = 16384
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -173,6 +177,62 @@ def agreement(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a long, b long")
 
 
+def bridges(ids: np.ndarray, roots: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of edges that join different roots' rows as all agreeing pairs of rows would; with two blocks only pairs across them."""
+    label = np.unique(roots, return_inverse=True)[1]
+    across = len(np.unique(blocks)) > 1
+    a, b = [], []
+    for i in range(len(ids) - 1):
+        apart = label[i + 1 :] != label[i]
+        if across:
+            apart &= blocks[i + 1 :] != blocks[i]
+        rest = np.flatnonzero(apart) + i + 1
+        if not len(rest):
+            continue
+        hit = rest[(sigs[rest] == sigs[i]).mean(axis=1) >= threshold]
+        if len(hit):
+            a.append(np.full(len(hit), ids[i])), b.append(ids[hit])
+            label[np.isin(label, label[hit])] = label[i]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def crowded_edges(placed: DataFrame, roots: DataFrame, heads: DataFrame, k: int, threshold: float, crowd: int) -> DataFrame:
+    """a, b: edges between components (node, root) that share one of the buckets (bucket, doc_id)."""
+    inside = Window.partitionBy("bucket")
+    known = placed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = known.withColumns({"lo": F.min("root").over(inside), "hi": F.max("root").over(inside), "n": F.count(F.lit(1)).over(inside)}).where("lo <> hi")
+    number = F.ceil(F.col("n") / crowd).cast("int")
+    block = F.pmod(F.xxhash64("doc_id"), number).cast("int")
+    # a bucket has a task for each of its blocks and for each two of them
+    tasks = mixed.select("bucket", "doc_id", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), number - 1)).alias("mate"))
+    tasks = tasks.select("bucket", F.least("block", "mate").alias("one"), F.greatest("block", "mate").alias("two"), "doc_id", "root", "block")
+    full = tasks.join(heads, "doc_id").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "doc_id")
+
+    def compare(batches):
+        def edges(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            part = pa.Table.from_batches(rows)
+            ids, roots, blocks = (part[c].to_numpy() for c in ("doc_id", "root", "block"))
+            sigs = np.frombuffer(b"".join(buffers(r.column(4))[0].tobytes() for r in rows), dtype="<u4").reshape(-1, k)
+            a, b = bridges(ids, roots, blocks, sigs, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held, now = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2)], axis=1)
+            begins = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, int)
+            for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)]):
+                if held and tuple(keys[lo]) != now:
+                    yield edges(held)
+                    held = []
+                now = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo).select(["bucket", "doc_id", "root", "block", "sig"]))
+        if held:
+            yield edges(held)
+
+    return full.select("bucket", "one", "two", "doc_id", "root", "block", "sig").mapInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of the edges (a, b) other than a root, the least node of its component.
 
@@ -205,7 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, duplicate_of: each document that another one of its group, the least doc_id, stands for."""
     if k % bands:
         raise ValueError("k must be a multiple of bands")
@@ -216,13 +276,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
     coded = cut(one.select("doc_id", F.xxhash64("sig").alias("code")).withColumn("head", F.first("doc_id").over(same)))
     equal = coded.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     heads = one.join(coded.where("doc_id = head").select("doc_id"), "doc_id", "left_semi")
-    inside = Window.partitionBy("bucket").orderBy("doc_id")
-    placed = band_keys(heads, k, bands).select("doc_id", F.first("doc_id").over(inside).alias("least"), F.lag("doc_id").over(inside).alias("last"))
+    bucket = Window.partitionBy("bucket")
+    inside = bucket.orderBy("doc_id")
+    placed = cut(band_keys(heads, k, bands).withColumns({"least": F.first("doc_id").over(inside), "last": F.lag("doc_id").over(inside), "n": F.count(F.lit(1)).over(bucket)}).where("n > 1"))
     pairs = placed.where("last is not null").select(F.col("doc_id").alias("a"), F.explode(F.array("least", "last")).alias("b")).distinct()
     left = heads.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
     right = heads.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    close = agreement(pairs.join(left, "a").join(right, "b"), k, threshold)
-    return components(close.union(equal)).select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    roots = components(agreement(pairs.join(left, "a").join(right, "b"), k, threshold).union(equal))
+    # in buckets of two or three these were all pairs
+    more = cut(crowded_edges(placed.where("n > 3").select("bucket", "doc_id"), roots, heads, k, threshold, crowd).distinct())
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

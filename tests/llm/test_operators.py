@@ -150,6 +150,23 @@ def test_near_duplicates(spark, docs):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [neardup.CROWD, 3])
+def test_mixed_buckets_lose_no_pair(spark, crowd):
+    """Pairs of about 0.5 whose boilerplate, below 0.3, puts many of them into one bucket; against all pairs of all buckets."""
+    shared = [f"b{i}" for i in range(90)]
+    texts = [" ".join([*shared, *(f"g{i % 400}w{j}" for j in range(50)), *(f"t{i}n{j}" for j in range(64))]) for i in range(800)]
+    _, sigs = neardup.signatures(*buffers(pa.array(texts)))
+    banded = sigs.reshape(len(sigs), neardup.BANDS, -1)
+    root = np.arange(len(sigs))
+    for i in range(len(sigs) - 1):
+        met = (banded[i + 1 :] == banded[i]).all(axis=2).any(axis=1) & ((sigs[i + 1 :] == sigs[i]).mean(axis=1) >= neardup.THRESHOLD)
+        same = np.unique(np.r_[root[i], root[i + 1 :][met]])
+        root[np.isin(root, same)] = same[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["duplicate_of"] for r in neardup.near_duplicates(df, crowd=crowd).collect()}
+    assert got == {i: r for i, r in enumerate(root.tolist()) if i != r} and len(got) > 200
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(edges).collect()}
