@@ -11,8 +11,10 @@ language of least cross-entropy per character (ties: the first by name).
 
 Training fits a classifier, so it takes a bounded sample: per language the `train_docs` documents of least hash
 by (doc_id, text) that carry its label; every fifth of them is held out. On these the rejection is calibrated: each
-language's mean m and deviation s of bits per character, the greatest words^(1/2) * (bits - m) / s and the
-greatest bits - m. Rejected are documents that exceed both by the factor MARGIN, and those without words.
+language's median m of bits per character, the deviation s of words^(1/2) * (bits - m), and the greatest
+z = words^(1/2) * (bits - m) / s and bits - m of the usual texts, those within TRIM deviations in both. Deviations are
+scaled medians of absolute values, so a few bad rows move no limit. Rejected are documents that exceed both by the
+factor MARGIN, and those without words.
 
 Defined results: null, empty and blank texts have no language, no bits and are not accepted. A null doc_id is
 judged like any other. Rows with a null label train nothing; without any label at all nothing is accepted.
@@ -31,7 +33,9 @@ from spanwright.llm.common import buffers, ident, mix, pieces, table, word_hashe
 
 ORDER = 5
 TRAIN_DOCS = 500
-#: How far beyond the worst held-out document, as a factor of its z, a document must be to be rejected.
+#: Deviations beyond which a held-out document is unusual and sets no limit.
+TRIM = 12.0
+#: How far beyond the worst usual held-out document, as a factor of its z, a document must be to be rejected.
 MARGIN = 1.5
 _STEP = 0x9E3779B97F4A7C15
 
@@ -209,16 +213,19 @@ class Identifier:
             data, offsets = buffers(pa.array(held[lang], pa.large_string()))
             best, bits, words = self.models.judge(data, offsets)
             mine = best == i
-            m = float(np.average(bits[mine], weights=words[mine])) if mine.any() else 0.0
-            s = float(np.sqrt(np.average((bits[mine] - m) ** 2 * words[mine]))) if mine.any() else 0.0
-            s = max(s, 1e-6)
-            z = np.sqrt(words[mine]) * (bits[mine] - m) / s
-            drift = (bits[mine] - m).max() if mine.any() else 0.0
+            # a repeated text counts once
+            _, once = np.unique(bits[mine], return_index=True)
+            bits, root = bits[mine][once], np.sqrt(words[mine][once])
+            m = float(np.median(bits)) if len(bits) else 0.0
+            drift = bits - m
+            s, spread = (max(1.4826 * float(np.median(x)), 1e-6) if len(bits) else 1e-6 for x in (root * np.abs(drift), np.abs(drift)))
+            z = root * drift / s
+            usual = (z <= TRIM) & (drift <= TRIM * spread)
             self.mean[i], self.deviation[i] = m, s
-            self.limit[i] = (margin * max(float(z.max()) if mine.any() else 0.0, 3.0), margin * float(drift))
+            self.limit[i] = (margin * float(z[usual].max(initial=3.0)), margin * float(drift[usual].max(initial=0.0)))
 
     def accepts(self, best: np.ndarray, bits: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Not beyond the limits: neither the deviation for its number of words nor what any held-out text of its language has."""
+        """Not beyond the limits: neither the deviation for its number of words nor what the usual held-out texts of its language have."""
         good = np.zeros(len(best), dtype=bool)
         for i in self.mean:
             mine = best == i

@@ -281,6 +281,20 @@ def test_identification(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_labelled_junk_moves_no_limit():
+    rng = random.Random(11)
+    parts = {"en": ["the", "of", "and", "house", "tion"], "de": ["der", "und", "nicht", "haus", "keit"]}
+    say = lambda lang: " ".join(rng.choice(parts[lang]) + rng.choice(["", "er", "s"]) for _ in range(rng.randint(5, 60)))
+    noise = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(40))
+    labelled = {lang: [say(lang) for _ in range(500)] for lang in parts}
+    for texts in labelled.values():
+        texts[::25] = [noise("#%$&*0123456789") for _ in texts[::25]]  # 4 percent, all of them held out
+    who = langid.Identifier(labelled)
+    judged = lambda texts: who.accepts(*who.models.judge(*buffers(pa.array(texts))))
+    assert not judged([noise("ыжшщюячэ") for _ in range(20)] + [noise("#%$&*0123456789") for _ in range(20)]).any()
+    assert judged([say(lang) for lang in parts for _ in range(100)]).all()
+
+
 # -- 7
 
 
