@@ -25,8 +25,8 @@ from spanwright.llm.common import cut, ident, table
 CAPACITY = 2048
 #: Ranks are counted within (length, salt), so that no length, however frequent, is one task's work.
 SALTS = 16
-PLAN_SCHEMA = "p_length int, rank_lo long, rank_hi long, bin_lo long, per_bin int, offset_lo int"
-#: Above this many plan rows the planned slots are joined by shuffle instead of broadcast.
+PLAN_SCHEMA = "p_length int, p_salt int, nth_lo long, nth_hi long, skipped long, bin_lo long, per_bin int, offset_lo int"
+#: Plan rows up to which the planned slots are broadcast; more are joined by shuffle, on the same keys (length, salt).
 BROADCAST_ROWS = 200_000
 
 
@@ -78,6 +78,29 @@ def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return rows
 
 
+def salted_slots(plan: list[tuple], bases: list[tuple[int, int, int, int]]) -> list[tuple]:
+    """The plan's runs cut at the salts' edges: (length, salt, nth_lo, nth_hi, skipped, bin_lo, per_bin, offset_lo), nth counted within (length, salt).
+
+    bases: (length, salt, rank of the salt's first piece, pieces), ascending, as are a length's runs. skipped: the run's slots before nth_lo.
+    """
+    runs: dict[int, list[tuple]] = {}
+    for run in plan:
+        runs.setdefault(run[0], []).append(run)
+    out, at = [], dict.fromkeys(runs, 0)
+    for length, salt, base, n in bases:
+        mine, i = runs[length], at[length]
+        while i < len(mine):
+            _, lo, hi, first, each, offset = mine[i]
+            a, b = max(lo, base), min(hi, base + n)
+            if a < b:
+                out.append((length, salt, a - base, b - base, a - lo, first, each, offset))
+            if hi > base + n:
+                break
+            i += 1
+        at[length] = i
+    return out
+
+
 def piece_lengths(docs: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tie, piece, start_word, length: a row for each piece of each document that has words."""
     words = F.regexp_count(F.col("text"), F.lit(r"[^ \t\n\x0B\f\r]+")).cast("int")
@@ -103,17 +126,16 @@ def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_
     histogram: dict[int, int] = {}
     bases = []
     for row in sorted(counts):
-        bases.append((row["length"], row["salt"], histogram.get(row["length"], 0)))
+        bases.append((row["length"], row["salt"], histogram.get(row["length"], 0), row["n"]))
         histogram[row["length"]] = histogram.get(row["length"], 0) + row["n"]
-    plan = plan_slots(histogram, capacity)
-    small = F.broadcast if max(len(plan), len(bases)) <= BROADCAST_ROWS else lambda df: df
-    base = spark.createDataFrame(bases, "b_length int, b_salt int, base long")
-    slots = spark.createDataFrame(plan, PLAN_SCHEMA)
+    slots = salted_slots(plan_slots(histogram, capacity), bases)
+    planned = spark.createDataFrame(slots, PLAN_SCHEMA)
+    planned = F.broadcast(planned) if len(slots) <= BROADCAST_ROWS else planned
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "tie", "piece")
-    ranked = lengths.withColumn("nth", F.row_number().over(within)).join(small(base), (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt")))
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("nth") - 1)
-    step = F.col("rank") - F.col("rank_lo")
-    return ranked.join(small(slots), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_hi"))).select(
+    ranked = lengths.withColumn("nth", F.row_number().over(within) - 1)
+    same = (F.col("length") == F.col("p_length")) & (F.col("salt") == F.col("p_salt"))
+    step = F.col("skipped") + F.col("nth") - F.col("nth_lo")
+    return ranked.join(planned, same & (F.col("nth") >= F.col("nth_lo")) & (F.col("nth") < F.col("nth_hi"))).select(
         "doc_id",
         "piece",
         "start_word",
