@@ -291,14 +291,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that near_duplicates() names; of rows that share a doc_id one stays, rows without one all do."""
+    """The documents without those that near_duplicates() names; of rows that share a doc_id the one of least text hash stays, rows without one all do."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     key = fresh(docs, "gone")
     kept = docs.join(gone.select(F.col("doc_id").alias(key)), ident(id_col) == F.col(key), "left_anti")
     repeated = kept.where(ident(id_col).isNotNull()).groupBy(ident(id_col).alias(key)).count().where("count > 1").select(key)
     if repeated.isEmpty():
         return kept
-    return kept.where(ident(id_col).isNull()).unionByName(kept.where(ident(id_col).isNotNull()).dropDuplicates([id_col]))
+    # of a repeated id's rows the least hash of the text stays, then the least text and the least row as JSON
+    turn, tie, row = fresh(docs, "turn"), F.xxhash64(ident(text_col)), F.to_json(F.struct(*(ident(c) for c in docs.columns)))
+    order = Window.partitionBy(ident(id_col)).orderBy(tie, ident(text_col), row)
+    several = kept.join(repeated, ident(id_col) == F.col(key), "left_semi").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
+    single = kept.join(repeated, ident(id_col) == F.col(key), "left_anti")  # null ids among them
+    return single.unionByName(several)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
