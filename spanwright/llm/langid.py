@@ -37,6 +37,8 @@ TRAIN_DOCS = 500
 TRIM = 12.0
 #: How far beyond the worst usual held-out document, as a factor of its z, a document must be to be rejected.
 MARGIN = 1.5
+#: Deviations of n held-out texts are widened by SMALL / n for their own error.
+SMALL = 8.0
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -58,10 +60,10 @@ def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     legal = np.ones(n, dtype=bool)
     for k in range(1, order):
         shifted = np.zeros(n, dtype=np.uint64)
-        shifted[k:] = mix(points[: n - k] + np.uint64((1 + k * _STEP) & (2**64 - 1)))
+        shifted[k:] = mix(points[: max(0, n - k)] + np.uint64((1 + k * _STEP) & (2**64 - 1)))
         inner = np.zeros(n, dtype=bool)
         if k > 1:
-            inner[k - 1 :] = blank[: n - k + 1]
+            inner[k - 1 :] = blank[: max(0, n - k + 1)]
         legal = legal & ~inner
         legal[:k] = False
         run = run + shifted
@@ -131,7 +133,7 @@ class Models:
                 kinds = np.bincount(np.searchsorted(gram, hashes[n][upper]), minlength=len(gram)) if len(ups) else np.zeros(len(gram))
                 starts = np.zeros(len(gram), dtype=bool)
                 begins = np.zeros(len(points), dtype=bool)
-                begins[n:] = points[: len(points) - n] == 32
+                begins[n:] = points[: max(0, len(points) - n)] == 32
                 if n:
                     starts[np.searchsorted(gram, hashes[n][good & begins])] = True
                 number = np.where(starts | (kinds == 0), number, kinds)
@@ -219,6 +221,7 @@ class Identifier:
             m = float(np.median(bits)) if len(bits) else 0.0
             drift = bits - m
             s, spread = (max(1.4826 * float(np.median(x)), 1e-6) if len(bits) else 1e-6 for x in (root * np.abs(drift), np.abs(drift)))
+            s *= 1 + SMALL / max(1, len(bits))
             z = root * drift / s
             usual = (z <= TRIM) & (drift <= TRIM * spread)
             self.mean[i], self.deviation[i] = m, s
@@ -236,9 +239,9 @@ class Identifier:
 
 def training_sample(docs: DataFrame, train_docs: int, id_col: str, text_col: str, label_col: str) -> dict[str, list[str]]:
     """Per label the texts of the train_docs rows of least hash, in the order of hash; read through a hash bound, not a sort."""
-    key = F.xxhash64(F.coalesce(ident(id_col).cast("string"), F.lit("")))
+    key = F.xxhash64(F.coalesce(ident(id_col).cast("string"), F.lit("")), ident(text_col).cast("string"))
     rows = docs.select(ident(label_col).cast("string").alias("label"), ident(text_col).cast("string").alias("text"), key.alias("key")).where("label is not null and text is not null and text <> ''")
-    counts = {r["label"]: r["n"] for r in docs.where(ident(label_col).isNotNull()).groupBy(ident(label_col).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     # a bound that leaves about four times the sample of each label; the rest is never sorted or moved
