@@ -213,9 +213,9 @@ def covered(b: Block, repeats: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     place = place[at]
     second = b.second(b.at[at])
     found = np.zeros(len(at), dtype=bool)
-    for _ in range(8):  # windows that agree in the first 64 bits follow each other
+    while True:  # windows that agree in the first 64 bits follow each other; each is looked at
         at_key = np.minimum(place, len(h) - 1)
-        live = ~found & (h[at_key] == b.hash[at])
+        live = ~found & (place < len(h)) & (h[at_key] == b.hash[at])
         found |= live & (g[at_key] == second)
         place = np.where(live & ~found, place + 1, place)
         if not (live & ~found).any():
