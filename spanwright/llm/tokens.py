@@ -4,11 +4,13 @@ Texts are encoded with a byte-level BPE vocabulary, each followed by an end toke
 decreasing: pieces in descending length, each into the open row with the least room that suffices, found by
 descent in a segment tree over the possible rooms. A longer text is split into full rows and a rest; nothing is dropped.
 
-Each partition packs its own documents, so nothing is shuffled; only its last rows are less full. Row ids hold the
-partition's number in the upper bits.
+Texts are dealt to buckets of about BUCKET_BYTES by a hash of id and text, one shuffle of the text, and a bucket
+packs its texts in the order of id and text hash; so rows and their ids, bucket and number, are the same
+however the input is split into files. Only a bucket's last rows are less full. A task packs at most FLUSH_TOKENS tokens at
+once: a bucket that equal rows have swollen is packed in parts.
 
-Defined results: null texts and null ids' texts: a null text takes no place; a null id is carried as null. An
-empty text is its end token alone. Repeated rows are packed each. An empty table gives no rows. Other columns are ignored.
+Defined results: a null text takes no place. A null id is carried as null. An empty text is its end token
+alone. Repeated rows are packed each. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanwright.llm.common import ident, table
 
 ROW = 2048
+#: Bytes of text in a bucket, on average.
+BUCKET_BYTES = 24_000_000
+#: Tokens that a task packs at once, and one text more.
+FLUSH_TOKENS = 16_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 #: The public pre-tokenising pattern of the byte-level vocabulary.
@@ -41,7 +47,7 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.encoding = tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.end = end
+        self.end, self.greatest = end, max(ranks.values(), default=0)
 
     @classmethod
     def of(cls, path: str, end: int) -> "Encoder":
@@ -162,26 +168,48 @@ def pack_tokens(docs: DataFrame, row_tokens: int = ROW, vocabulary: str = VOCABU
     """
     if row_tokens < 1:
         raise ValueError("row_tokens must be positive")
-    kind = np.dtype("<u2" if max(end_id, pad_id, row_tokens) < 65536 else "<u4")
+    greatest = Encoder.of(vocabulary, end_id).greatest
+    kind = np.dtype("<u2" if max(greatest, end_id, pad_id, row_tokens) < 65536 else "<u4")
+    lean = docs.select(ident(id_col).cast("long").alias("doc_id"), ident(text_col).cast("string").alias("text")).where("text is not null")
+    size = lean.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    tied = lean.withColumn("tie", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)).cast("int"))
+    moved = tied.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "tie")
 
     def pack(batches):
-        held, names, encoder = [], [], Encoder.of(vocabulary, end_id)
+        encoder = Encoder.of(vocabulary, end_id)
+        held, names, number, now, base = [], [], 0, None, 0
+
+        def flush():
+            nonlocal held, names, number, base
+            if held:
+                lengths = np.concatenate([x[1] for x in held])
+                ids = np.concatenate([x[0] for x in held])
+                held = []
+                packed = pack_rows(ids, np.concatenate([[0], np.cumsum(lengths)]), names, row_tokens, base, pad_id, kind)
+                base += packed.num_rows
+                names, number = [], 0
+                for lo in range(0, packed.num_rows, 2000):
+                    yield packed.slice(lo, 2000)
+
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            names += batch.column(0).to_pylist()
+            bucket = batch.column(2).to_numpy()
             for lo in range(0, batch.num_rows, 500):
-                ids, lengths = encoder.batch(batch.column(1).slice(lo, 500).to_pylist())
-                held.append((ids.astype(kind), lengths))
-        if held:
-            lengths = np.concatenate([x[1] for x in held])
-            ids = np.concatenate([x[0] for x in held])
-            held.clear()
-            packed = pack_rows(ids, np.concatenate([[0], np.cumsum(lengths)]), names, row_tokens, TaskContext.get().partitionId() << 40, pad_id, kind)
-            for lo in range(0, packed.num_rows, 2000):
-                yield packed.slice(lo, 2000)
-
-    lean = docs.select(ident(id_col).cast("long").alias("doc_id"), ident(text_col).cast("string").alias("text"))
-    return lean.mapInArrow(pack, PACKED)
+                for part in np.unique(bucket[lo : lo + 500]).tolist():
+                    some = lo + np.flatnonzero(bucket[lo : lo + 500] == part)
+                    if part != now:
+                        yield from flush()
+                        now, base = part, part << 40
+                    a, n = int(some[0]), len(some)
+                    ids, lengths = encoder.batch(batch.column(1).slice(a, n).to_pylist())
+                    names += batch.column(0).slice(a, n).to_pylist()
+                    held.append((ids.astype(kind), lengths))
+                    number += len(ids)
+                    if number >= FLUSH_TOKENS:
+                        yield from flush()
+        yield from flush()
+
+    return moved.select("doc_id", "text", "bucket").mapInArrow(pack, PACKED)
 
 
 def unpack(packed: list, kind: str = "<u2") -> dict:
