@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.llm import langid, neardup, packing, substring
-from spanwright.llm.common import table
+from spanwright.llm.common import cut, table
 from spanwright.session import ship
 
 
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents` in turn."""
+    """The stages applied to `documents` in turn; what a stage keeps is written once, to the shared folder, and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        docs = cut(docs) if n < len(STAGES) else docs
     return docs
