@@ -1,21 +1,24 @@
 """Exact top-k search by columnar branch and bound (operator 7).
 
-Every vector asks for its k nearest others by squared Euclidean distance. Vectors lie in blocks, each as a
-matrix with one row per dimension. A query block meets the candidate blocks in turn and keeps each
-query's k best so far. Against a candidate block distances accumulate over groups of dimensions, those of
+The query set are the vectors whose id is divisible by `every`; each asks for its k nearest among all others by squared
+Euclidean distance. Vectors lie in blocks, each as a matrix with one row per dimension. A query block meets the
+candidate blocks in turn and keeps each query's k best so far. Against a candidate block distances accumulate over groups of dimensions, those of
 greatest variance first; after each group a pair lives on while its distance so far plus the least that the
 remaining mass allows, (|q_rest| - |x_rest|)^2, doesn't exceed the query's k-th best. While many pairs live the
 next group is added for all of the block's pairs at once; when few do, they are compacted to a list and only they go
 on. What survives all groups gets its distance again in double precision, in the order of dimensions, which
 alone decides; the bound carries a slack for single precision. So the result is exact.
 
-Block pairs are quadratic in the number of vectors, as exact search over all rows is; blocks go
-through a shuffle, none is broadcast, and a task holds one query block and one candidate block.
+Queries and candidates meet in tiles: a tile has at most TILE_QUERIES queries, which its task holds, and
+TILE_ROWS candidates, which stream past them. So a query is sent once per candidate group and a candidate once per query
+group, far less than once per pair of blocks, and nothing is broadcast. Tiles report k rows per query, which a window with a
+group limit merges. The work is that of the stated query set against all rows.
 
-Defined results: null vectors, vectors of another length than the first by vec_id's, and vectors with nulls, NaN
-or infinities neither ask nor are found; so do rows with a null id. A row that repeats an id counts as another
-vector, and no row finds a row of its own id. Ties go to the lesser neighbour id. Fewer than k others: fewer rows. An empty
-table gives no rows. Other columns are ignored.
+Defined results: null vectors, vectors of another length than the most frequent one (of equally frequent ones the
+greater), empty ones, and vectors with nulls, NaN or infinities neither ask nor are found; so do rows with a null id. A row that
+repeats an id counts as another vector, and no row finds a row of its own id; rows that repeat an id that asks ask each
+and give their neighbours each. Ties go to the lesser neighbour id. Fewer than k others: fewer rows. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanwright.llm.common import cut, ident, table
 
 TOP = 10
+#: The query set: ids divisible by this, against all rows.
+EVERY = 20
 BLOCK = 2048
+TILE_QUERIES = 65_536
+TILE_ROWS = 8_192
 GROUPS = 4
 #: Below this share of living pairs they are compacted to a list.
 SPARSE = 0.05
-RESULT = "vec_id long, neighbor_rank int, neighbor_id long, distance double"
+REPORT = "asker long, vec_id long, neighbor_id long, distance double"
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -67,13 +75,12 @@ class Best:
         take = (begin[:, None] + np.arange(self.k)).ravel()
         self.distance[rows], self.neighbor[rows] = d[take].reshape(-1, self.k), n[take].reshape(-1, self.k)
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, asker: np.ndarray) -> pa.RecordBatch:
         real = np.isfinite(self.distance)
-        rank = np.broadcast_to(np.arange(1, self.k + 1, dtype=np.int32), real.shape)
-        ids = np.broadcast_to(self.ids[:, None], real.shape)
+        ids, askers = (np.broadcast_to(x[:, None], real.shape) for x in (self.ids, asker))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[real]), pa.array(rank[real]), pa.array(self.neighbor[real]), pa.array(np.round(self.distance[real], 5))],
-            ["vec_id", "neighbor_rank", "neighbor_id", "distance"],
+            [pa.array(askers[real]), pa.array(ids[real]), pa.array(self.neighbor[real]), pa.array(self.distance[real])],
+            ["asker", "vec_id", "neighbor_id", "distance"],
         )
 
 
@@ -129,64 +136,89 @@ def meet(best: Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray, groups: int
             best.add(who, ids[which], exact(q[:, who].T, x[:, which].T))
 
 
-def vector_blocks(vectors: DataFrame, id_col: str, vec_col: str, block: int) -> DataFrame:
-    """block, ids, vecs: blocks of about `block` usable vectors of the first's length, as bytes, dimension by dimension."""
-    rows = vectors.select(ident(id_col).cast("long").alias("id"), ident(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    """(asker, id, v of the vectors that take part, their number). asker numbers the rows, so that repeated ids ask apart."""
+    rows = vectors.select(ident(id_col).cast("long").alias("id"), ident(vec_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < F.lit(float("inf")))))
-    seen = rows.agg(F.min_by(F.size("v"), "id").alias("dims"), F.count(F.lit(1)).alias("n")).first()
-    if not seen["n"]:
-        return vectors.sparkSession.createDataFrame([], "block int, ids binary, vecs binary")
-    number = -(-seen["n"] // block)
-
-    def pack(part: pa.Table) -> pa.Table:
-        ids = part["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        flat = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
-        return pa.table({"block": part["block"][:1], "ids": pa.array([ids[order].tobytes()], pa.binary()), "vecs": pa.array([np.ascontiguousarray(flat.T).tobytes()], pa.binary())})
-
-    alike = rows.where(F.size("v") == seen["dims"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int"))
-    return alike.groupBy("block").applyInArrow(pack, "block int, ids binary, vecs binary")
-
-
-def top_k(vectors: DataFrame, k: int = TOP, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, neighbor_rank, neighbor_id, distance (squared, 5 digits)."""
-    if k < 1:
-        raise ValueError("k must be positive")
-    spark = vectors.sparkSession
-    blocks = cut(vector_blocks(vectors, id_col, vec_col, block))
-    asks = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    # each query block starts with itself: near vectors of its own make the bound tight at once
-    turn = F.when(F.col("q_block") == F.col("block"), -1).otherwise(F.col("block"))
-    n = max(1, blocks.count())
-    pairs = asks.repartition(n, "q_block").crossJoin(blocks).withColumn("turn", turn)
-    pairs = pairs.repartition(n, "q_block").sortWithinPartitions("q_block", "turn")
+    seen = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.agg(F.max(F.struct("n", "dims")).alias("most")).first()["most"]
+    if seen is None:
+        return rows.withColumn("asker", F.lit(0).cast("long")), 0
+    return rows.where(F.size("v") == seen["dims"]).withColumn("asker", F.monotonically_increasing_id()), seen["n"]
+
+
+def pack_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """grp, side, block, askers, ids, vecs: a row per block of the rows (grp, side, asker, id, v), the vectors dimension by dimension."""
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp, side = (batch.column(i).to_numpy() for i in (0, 1))
+            asker, ids = (batch.column(i).to_numpy() for i in (2, 3))
+            flat = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            order = np.lexsort((ids, side, grp))
+            begins = np.flatnonzero(np.r_[True, (np.diff(grp[order]) != 0) | (np.diff(side[order]) != 0)])
+            for lo, hi in zip(begins, [*begins[1:], len(order)]):
+                for at in range(lo, hi, block):
+                    some = order[at : min(at + block, hi)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([grp[some[0]]], pa.int32()), pa.array([side[some[0]]], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (asker[some], ids[some], flat[some].T))],
+                        ["grp", "side", "askers", "ids", "vecs"],
+                    )
+
+    return rows.select("grp", "side", "asker", "id", "v").mapInArrow(pack, "grp int, side int, askers binary, ids binary, vecs binary")
+
+
+def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, block: int = BLOCK, tile_queries: int = TILE_QUERIES, tile_rows: int = TILE_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, neighbor_rank, neighbor_id, distance (squared, 5 digits) of the vectors whose id is divisible by `every`."""
+    if k < 1 or every < 1:
+        raise ValueError("k and every must be positive")
+    rows, n = usable_vectors(vectors, id_col, vec_col)
+    rows = cut(rows)
+    asks = rows.where(F.pmod("id", F.lit(every)) == 0)
+    q_groups, r_groups = max(1, -(-asks.count() // tile_queries)), max(1, -(-n // tile_rows))
+    spread = lambda m, salt: F.pmod(F.xxhash64("asker", F.lit(salt)), F.lit(m)).cast("int")
+    each_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    # side 0: the queries of a tile, which come first; side 1: its candidates
+    left = asks.select("asker", "id", "v", spread(q_groups, 1).alias("qg"), each_of(r_groups).alias("rg"), F.lit(0).alias("side"))
+    right = rows.select("asker", "id", "v", spread(r_groups, 2).alias("rg"), each_of(q_groups).alias("qg"), F.lit(1).alias("side"))
+    both = left.unionByName(right).withColumn("grp", (F.col("qg") * r_groups + F.col("rg")).cast("int"))
+    # rows of a tile gather into blocks before they move, so that the shuffle carries few, packed rows
+    packed = pack_blocks(both, block)
+    tiled = packed.repartitionById(q_groups * r_groups, F.col("grp")).sortWithinPartitions("grp", "side")
 
     def search(batches):
-        now, best, q = None, None, None
+        now, asked = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                name, ids, vecs, _, x_ids, x_vecs, _ = (batch.column(j)[i].as_py() for j in range(7))
-                if name != now:
-                    if best is not None:
-                        yield best.rows()
-                    own = np.frombuffer(ids, np.int64)
-                    now, best, q = name, Best(own, k), np.frombuffer(vecs).reshape(-1, len(own))
-                other = np.frombuffer(x_ids, np.int64)
-                meet(best, q, other, np.frombuffer(x_vecs).reshape(-1, len(other)))
-        if best is not None:
-            yield best.rows()
+                grp, side, askers, ids, vecs = (batch.column(j)[i].as_py() for j in range(5))
+                if grp != now:
+                    yield from (best.rows(who) for best, _, who in asked)
+                    now, asked = grp, []
+                own = np.frombuffer(ids, np.int64)
+                matrix = np.frombuffer(vecs).reshape(-1, len(own))
+                if side == 0:
+                    asked.append((Best(own, k), matrix, np.frombuffer(askers, np.int64)))
+                else:
+                    for best, q, _ in asked:
+                        meet(best, q, own, matrix)
+        yield from (best.rows(who) for best, _, who in asked)
 
-    return pairs.mapInArrow(search, RESULT)
+    found = tiled.mapInArrow(search, REPORT)
+    rank = F.row_number().over(Window.partitionBy("asker", "vec_id").orderBy("distance", "neighbor_id"))
+    return found.withColumn("neighbor_rank", rank).where(F.col("neighbor_rank") <= k).select("vec_id", "neighbor_rank", "neighbor_id", F.round("distance", 5).alias("distance"))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every vector whose id is divisible by 20."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
 OP7_SQL = f"""
 WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS v FROM embeddings),
 p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, sum((CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE)) * (CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE)) ORDER BY a.d) AS dist
-  FROM e a JOIN e b ON a.d = b.d AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+  FROM (SELECT * FROM e WHERE vec_id % {EVERY} = 0) a JOIN e b ON a.d = b.d AND a.vec_id <> b.vec_id GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbor_id) AS nth FROM p)
 SELECT vec_id, CAST(nth AS INTEGER) AS neighbor_rank, neighbor_id, round(dist, 5) AS distance FROM r WHERE nth <= {TOP}
 """
