@@ -9,13 +9,17 @@ the token after it. Only shards that have the longest context of all shards add
     p(token | text before) = (count(context token) + ALPHA * p1(token)) / (count(context) + ALPHA)
     p1(token) = (count(token) + 1) / (tokens + types)
 
-where `types` counts the corpus' distinct words and one for unknown ones. What the shards report grows with the
-number of shards, the corpus' size. Texts to score go to all shards in chunks of CHUNK_WORDS tokens, so that
-what is broadcast stays bounded; each further chunk reads the corpus again.
+where `types` counts the corpus' distinct words and one for unknown ones.
+What the shards report, the words' counts among it, grows with the corpus: the corpus is read once, and the one table
+of reports, written to the shared folder, gives the matches, the words' counts and their number.
+
+Texts to score are hashed where they lie and go to the shards in chunks of at most CHUNK_WORDS tokens (one text more),
+which bounds what is broadcast. Where there are several chunks, the shards are written to the shared folder once, with
+their suffix arrays, and each chunk reads them.
 
 Defined results: a null or empty text has no tokens, null log-probabilities and zero matches. Null ids stay;
 repeated rows are scored each. Null and empty documents add nothing; with an empty corpus every p is 1.
-Other columns are ignored.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import buffers, ident, pieces, table, word_hashes, word_ranges
+from spanwright.llm.common import buffers, cut, ident, pieces, table, word_hashes, word_ranges
 
 ALPHA = 1.0
 SHARD_WORDS = 1_000_000
 CHUNK_WORDS = 2_000_000
 
-REPORT = "chunk int, place long, length int, with_context long, with_token long"
+#: Rows of matches (row, pos, length, with_context, with_token) and of words' counts (word, n).
+REPORT = "row long, pos int, length int, with_context long, with_token long, word long, n long"
 
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
@@ -70,9 +75,14 @@ def suffix_array(ranks: np.ndarray) -> np.ndarray:
 class Shard:
     """Documents' tokens backwards, each document followed by a mark that no text has, and their suffix array."""
 
-    def __init__(self, tokens: list[np.ndarray]):
+    def __init__(self, vocabulary: np.ndarray, text: np.ndarray, order: np.ndarray):
+        self.vocabulary, self.text, self.order = vocabulary, text, order
+        self.tokens = int(np.count_nonzero(text >= 0))
+
+    @classmethod
+    def of(cls, tokens: list[np.ndarray]) -> "Shard":
         words = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        self.vocabulary, codes = np.unique(words, return_inverse=True)
+        vocabulary, codes = np.unique(words, return_inverse=True)
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         # place of each token in the backward text: documents in turn, tokens reversed, one mark after each
         document = np.repeat(np.arange(len(tokens)), lengths)
@@ -83,9 +93,18 @@ class Shard:
         marks = np.cumsum(lengths) + np.arange(len(tokens))
         # marks sort before all tokens and differ from each other, so that no match runs past one
         text[marks] = np.arange(len(tokens)) - len(tokens)
-        self.text = text
-        self.order = suffix_array(text)
-        self.tokens = len(words)
+        return cls(vocabulary, text, suffix_array(text))
+
+    def counts(self) -> np.ndarray:
+        """How often each word of the vocabulary occurs."""
+        return np.bincount(self.text[self.text >= 0], minlength=len(self.vocabulary))
+
+    def stored(self) -> list[bytes]:
+        return [self.vocabulary.tobytes(), self.text.astype("<i4").tobytes(), self.order.astype("<i4").tobytes()]
+
+    @classmethod
+    def read(cls, vocabulary: bytes, text: bytes, order: bytes) -> "Shard":
+        return cls(np.frombuffer(vocabulary, np.uint64), np.frombuffer(text, "<i4").astype(np.int64), np.frombuffer(order, "<i4").astype(np.int64))
 
     def longest(self, query: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each place of query: the longest context before it that occurs here, how often, and how often with the place's token.
@@ -161,91 +180,126 @@ def shards_of(batches, column: int, shard_words: int):
         yield held
 
 
+def tokenised(batches):
+    """(row, words) of Arrow batches (row, text): the text's words' hashes as bytes."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(1))
+        for lo, hi in pieces(offsets):
+            part = data[offsets[lo] : offsets[hi]]
+            starts, ends, rows = word_ranges(part, offsets[lo : hi + 1] - offsets[lo])
+            words = word_hashes(part, starts, ends)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), pa.array([words[a:b].tobytes() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())], pa.binary())], ["row", "words"]
+            )
+
+
+def _word_rows(shard: Shard) -> pa.RecordBatch:
+    n = len(shard.vocabulary)
+    none = [pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([*none, pa.array(shard.vocabulary.view(np.int64)), pa.array(shard.counts().astype(np.int64))], ["row", "pos", "length", "with_context", "with_token", "word", "n"])
+
+
+def _searcher(shared, shards, words_too: bool):
+    """A function from Arrow batches to reports: the matches of a chunk of queries in the shards that `shards` makes of the batches."""
+
+    def search(batches):
+        row, pos, query, begins = shared.value
+        n = len(query)
+        best, with_context, with_token, any_shard = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), False
+        for shard in shards(batches):
+            any_shard = True
+            if words_too:
+                yield _word_rows(shard)
+            length, count, both = shard.longest(query, begins)
+            longer, same = length > best, length == best
+            with_context = np.where(longer, count, np.where(same, with_context + count, with_context))
+            with_token = np.where(longer, both, np.where(same, with_token + both, with_token))
+            best = np.maximum(best, length)
+        if any_shard:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row), pa.array(pos), pa.array(best.astype(np.int32)), pa.array(with_context), pa.array(with_token), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+                ["row", "pos", "length", "with_context", "with_token", "word", "n"],
+            )
+
+    return search
+
+
+def _chunk(rows: DataFrame):
+    """(row, pos, words, begins) of a bounded number of tokenised texts."""
+    held = rows.toArrow()
+    words = [np.frombuffer(x.as_py(), np.uint64) for x in held["words"]]
+    lengths = np.array([len(w) for w in words], np.int64)
+    begins = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    row = np.repeat(held["row"].to_numpy(), lengths) if held.num_rows else np.zeros(0, np.int64)
+    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    return row.astype(np.int64), (np.arange(len(flat)) - begins).astype(np.int32), flat, begins
+
+
 def score(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id", query_text: str = "text", corpus_text: str = "text", alpha: float = ALPHA, shard_words: int = SHARD_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """A row per query row: item_id, n_tokens, log2_prob, bits_per_token, mean_match, longest_match."""
     spark = queries.sparkSession
-    asked = queries.select(ident(query_id).cast("long").alias("item_id"), ident(query_text).cast("string").alias("text")).toArrow()
-    data, offsets = buffers(asked["text"].combine_chunks() if asked.num_rows else pa.array([], pa.string()))
-    starts, ends, rows = word_ranges(data, offsets)
-    words = word_hashes(data, starts, ends)
-    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    asked = cut(queries.select(F.monotonically_increasing_id().alias("row"), ident(query_id).cast("long").alias("item_id"), ident(query_text).cast("string").alias("text")))
+    texts = cut(asked.where("text is not null").select("row", "text").mapInArrow(tokenised, "row long, words binary").where("octet_length(words) > 0").withColumn("size", (F.octet_length("words") / 8).cast("long")))
+    total = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # chunks by hash hold half of the bound on average; a longer text is a chunk's rest
+    chunks = max(1, -(-2 * total // chunk_words)) if total > chunk_words else 1
+    placed = texts.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
     lean = corpus.select(ident(corpus_text).cast("string").alias("text")).where("text is not null")
-    reports = None
-    cuts = [0]
-    for r in range(1, len(rows)):  # chunks end between texts
-        if rows[r] - rows[cuts[-1]] > chunk_words and r - 1 > cuts[-1]:
-            cuts.append(r - 1)
-    cuts.append(len(rows) - 1)
-    for chunk, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        query, begins = words[rows[a] : rows[b]], (rows[:-1][owner[rows[a] : rows[b]]] - rows[a])
-        shared = spark.sparkContext.broadcast((query, begins, int(rows[a])))
-
-        def search(batches, shared=shared, chunk=chunk):
-            query, begins, base = shared.value
-            n = len(query)
-            total, types = 0, []
-            best, with_context, with_token, single = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for tokens in shards_of(batches, 0, shard_words):
-                shard = Shard(tokens)
-                total += shard.tokens
-                length, count, both = shard.longest(query, begins)
-                at = np.searchsorted(shard.vocabulary, query)
-                known = shard.vocabulary[np.minimum(at, len(shard.vocabulary) - 1)] == query
-                frequency = np.bincount(np.searchsorted(shard.vocabulary, np.concatenate(tokens)), minlength=len(shard.vocabulary))
-                single += np.where(known, frequency[np.minimum(at, len(frequency) - 1)], 0)
-                longer, same = length > best, length == best
-                with_context = np.where(longer, count, np.where(same, with_context + count, with_context))
-                with_token = np.where(longer, both, np.where(same, with_token + both, with_token))
-                best = np.maximum(best, length)
-            if total:
-                yield batch_of(chunk, np.arange(n) + base, best, with_context, with_token)
-                # length -1: the token's own count
-                yield batch_of(chunk, np.arange(n) + base, np.full(n, -1), np.full(n, total), single)
-
-        part = lean.mapInArrow(search, REPORT)
-        reports = part if reports is None else reports.union(part)
-    types_of = lambda batches: _distinct_sketch(batches)
-    # tokens and types over all documents
-    whole = lean.mapInArrow(types_of, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), (F.count(F.lit(1)) + 1).alias("types"))
-    summed = reports.groupBy("chunk", "place", "length").agg(F.sum("with_context").alias("with_context"), F.sum("with_token").alias("with_token"))
-    longest = summed.where("length >= 0").groupBy("place").agg(F.max_by(F.struct("length", "with_context", "with_token"), "length").alias("m"))
-    single = summed.where("length = -1").select("place", F.col("with_token").alias("n1"))
-    found = longest.join(single, "place").crossJoin(F.broadcast(whole))
-    p1 = (F.col("n1") + 1) / (F.col("tokens") + F.col("types"))
-    bits = F.log2((F.col("m.with_token") + alpha * p1) / (F.col("m.with_context") + alpha))
-    place_rows = pa.table({"place": pa.array(np.arange(len(words)), pa.int64()), "row": pa.array(owner, pa.int64())})
-    row_items = pa.table({"row": pa.array(np.arange(len(rows) - 1), pa.int64()), "item_id": asked["item_id"].combine_chunks() if asked.num_rows else pa.array([], pa.int64()), "n_tokens": pa.array(np.diff(rows), pa.int32())})
-    items = spark.createDataFrame(row_items.to_pandas().astype({"item_id": "Int64"}), "row long, item_id long, n_tokens int") if not asked.num_rows else spark.createDataFrame(row_items)
-    places = spark.createDataFrame(place_rows) if len(words) else spark.createDataFrame([], "place long, row long")
-    per = (
-        places.join(found.select("place", bits.alias("bits"), F.col("m.length").alias("length")), "place", "left")
-        .groupBy("row")
-        .agg(F.sum(F.coalesce("bits", F.lit(0.0))).alias("log2_prob"), F.avg(F.coalesce("length", F.lit(0))).alias("mean_match"), F.max(F.coalesce("length", F.lit(0))).alias("longest_match"))
-    )
-    return items.join(per, "row", "left").select(
+    built = lambda batches: (Shard.of(tokens) for tokens in shards_of(batches, 0, shard_words))
+
+    if chunks == 1:
+        shared = spark.sparkContext.broadcast(_chunk(placed))
+        reports = cut(lean.mapInArrow(_searcher(shared, built, True), REPORT))
+        shared.unpersist()
+    else:
+
+        def keep(batches):
+            for shard in built(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in shard.stored()], ["vocabulary", "text", "order"])
+
+        def stored(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield Shard.read(*(batch.column(j)[i].as_py() for j in range(3)))
+
+        shards = cut(lean.mapInArrow(keep, "vocabulary binary, text binary, `order` binary"))
+        parts = []
+        for c in range(chunks):
+            shared = spark.sparkContext.broadcast(_chunk(placed.where(F.col("chunk") == c)))
+            parts.append(cut(shards.mapInArrow(_searcher(shared, stored, c == 0), REPORT)))
+            shared.unpersist()
+        reports = parts[0]
+        for part in parts[1:]:
+            reports = reports.union(part)
+    counts = reports.where("word is not null").groupBy("word").agg(F.sum("n").alias("n1"))
+    whole = counts.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("tokens"), (F.count(F.lit(1)) + 1).alias("types"))  # one row
+    summed = reports.where("row is not null").groupBy("row", "pos", "length").agg(F.sum("with_context").alias("with_context"), F.sum("with_token").alias("with_token"))
+    longest = summed.groupBy("row", "pos").agg(F.max_by(F.struct("length", "with_context", "with_token"), "length").alias("m"))
+
+    def spread(batches):
+        for batch in batches:
+            words = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            lengths = [len(w) for w in words]
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]) if lengths else np.zeros(0, np.int32)
+            flat = np.concatenate(words) if words else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), lengths)), pa.array(pos), pa.array(flat)], ["row", "pos", "word"])
+
+    places = texts.select("row", "words").mapInArrow(spread, "row long, pos int, word long")
+    known = places.join(counts, "word", "left").join(longest, ["row", "pos"], "left").crossJoin(F.broadcast(whole))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    p1 = (zero(F.col("n1")) + 1) / (F.col("tokens") + F.col("types"))
+    bits = F.log2((zero(F.col("m.with_token")) + alpha * p1) / (zero(F.col("m.with_context")) + alpha))
+    per = known.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum(bits).alias("log2_prob"), F.avg(zero(F.col("m.length"))).alias("mean_match"), F.max(zero(F.col("m.length"))).alias("longest_match"))
+    return asked.select("row", "item_id").join(per, "row", "left").select(
         "item_id",
-        "n_tokens",
+        zero(F.col("n")).cast("int").alias("n_tokens"),
         F.round("log2_prob", 6).alias("log2_prob"),
-        F.round(-F.col("log2_prob") / F.col("n_tokens"), 6).alias("bits_per_token"),
+        F.round(-F.col("log2_prob") / F.col("n"), 6).alias("bits_per_token"),
         F.round(F.coalesce("mean_match", F.lit(0.0)), 6).alias("mean_match"),
         F.coalesce("longest_match", F.lit(0)).cast("int").alias("longest_match"),
     )
 
 
-def batch_of(chunk: int, place: np.ndarray, length: np.ndarray, with_context: np.ndarray, with_token: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(place), chunk), pa.int32()), pa.array(place, pa.int64()), pa.array(length, pa.int32()), pa.array(with_context, pa.int64()), pa.array(with_token, pa.int64())],
-        ["chunk", "place", "length", "with_context", "with_token"],
-    )
-
-
-def _distinct_sketch(batches):
-    """Distinct words' hashes of a partition with their counts."""
-    for tokens in shards_of(batches, 0, 4 * SHARD_WORDS):
-        word, n = np.unique(np.concatenate(tokens), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text scored by all documents."""
     return score(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
