@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from spanwright.functions.spans import let
 from spanwright.functions.text import END, START
 
-VAT_WEIGHTS = [int(w) for w in "54327654"]
+#: Of the eight digits before the check digit.
+VAT_WEIGHTS = [5, 4, 3, 2, 7, 6, 5, 4]
 
 
 def _no() -> Column:

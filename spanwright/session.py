@@ -1,11 +1,11 @@
-"""Sessions: where Python workers find this library."""
+"""Sessions: where Python workers find this library; small inputs dealt to all cores."""
 
 from __future__ import annotations
 
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +17,15 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+#: Bytes of input per core up to which spread() deals rows out.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files are so small that they may lie in fewer splits (one row group can't be split);
+    larger inputs stay as they are, without a shuffle. For work that costs much more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL * cores else df
