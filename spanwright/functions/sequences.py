@@ -23,18 +23,26 @@ def _none() -> Column:
 
 def bioes(offsets: Column, spans: Column) -> Column:
     """One label per token (struct a, b): those that overlap a span are S, or B, I …, E. Spans go by start, later ones
-    overwrite; tokens at (0, 0) are special and stay O."""
+    overwrite; tokens at (0, 0) are special and stay O. A token is its span's first or last where no other token before or after it overlaps the span."""
     ordered = by_start_end(spans)
 
     def assign(all_spans: Column) -> Column:
-        touched = F.transform(all_spans, lambda s: F.struct(s["label"].alias("label"), F.filter(F.sequence(F.lit(0), F.size(offsets) - 1), lambda i: _in(F.get(offsets, i), s)).alias("at")))
+        def label(token: Column, i: Column) -> Column:
+            mine = F.try_element_at(F.filter(all_spans, lambda s: _in(token, s)), F.lit(-1))
 
-        def label(i: Column) -> Column:
-            mine = F.try_element_at(F.filter(touched, lambda t: F.array_contains(t["at"], i)), F.lit(-1))
-            prefix = F.when(F.size(mine["at"]) == 1, "S-").when(F.get(mine["at"], F.lit(0)) == i, "B-").when(F.element_at(mine["at"], -1) == i, "E-").otherwise("I-")
-            return F.when(mine.isNull(), "O").otherwise(F.concat(prefix, mine["label"]))
+            def named(s: Column) -> Column:
+                # neighbours nearly always tell; special tokens between a span's tokens are looked past
+                before, after = F.get(offsets, i - 1), F.get(offsets, i + 1)
+                special = lambda t: (t["a"] == 0) & (t["b"] == 0)
+                rest = lambda lo, hi: F.exists(F.slice(offsets, lo, hi), lambda t: _in(t, s))
+                goes_back = F.when(i == 0, False).when(_in(before, s), True).when(special(before), rest(F.lit(1), i)).otherwise(False)
+                goes_on = F.when(i == F.size(offsets) - 1, False).when(_in(after, s), True).when(special(after), rest(i + 2, F.size(offsets))).otherwise(False)
+                prefix = F.when(goes_back, F.when(goes_on, "I-").otherwise("E-")).otherwise(F.when(goes_on, "B-").otherwise("S-"))
+                return F.concat(prefix, s["label"])
 
-        return F.transform(F.sequence(F.lit(0), F.size(offsets) - 1), label)
+            return let(mine, lambda s: F.when(s.isNull(), "O").otherwise(named(s)))
+
+        return F.transform(offsets, label)
 
     return F.when(F.size(offsets) > 0, let(ordered, assign)).otherwise(F.array().cast("array<string>"))
 
@@ -79,7 +87,7 @@ def decode_bioes(text: Column, offsets: Column, labels: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda x: x["t"].isNotNull()), lambda x: _span(x["t"]["start"], x["t"]["end"], x["label"]))
 
 
-def spans_of_sequence(labels: Column, offsets: Column, joins_inside: bool = True) -> Column:
+def spans_of_sequence(labels: Column, offsets: Column) -> Column:
     """Runs of one category; a B or S starts a new one (any label without a hyphen is its own category)."""
     pairs = F.filter(F.zip_with(labels, offsets, lambda lab, t: F.struct(lab.alias("lab"), t["a"].alias("a"), t["b"].alias("b"))), lambda x: x["lab"].isNotNull())
     begin = F.struct(F.lit(None).cast("string").alias("cat"), F.lit(0).alias("s"), F.lit(0).alias("e"), _none().alias("out"))
@@ -114,7 +122,9 @@ def text_of_tokens(tokens: Column) -> Column:
 
 def spans_of_tags(tokens: Column, tags: Column, remap: Column) -> Column:
     """Spans of BIO tags in the tokens joined by blanks; categories through remap, unmapped ones end a span."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda k: F.aggregate(F.slice(tokens, F.lit(1), k), F.lit(0), lambda a, t: a + F.length(t) + 1) - 1)
+    begin = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("ends"))
+    step = lambda acc, t: F.struct((acc["at"] + 1 + F.length(t)).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + 1 + F.length(t))).alias("ends"))
+    ends = F.aggregate(tokens, begin, step, lambda acc: acc["ends"])
     offsets = lambda e: F.zip_with(tokens, e, lambda t, x: F.struct((x - F.length(t)).alias("a"), x.alias("b")))
     labels = F.transform(tags, lambda t: F.when(t == "O", "O").otherwise(F.coalesce(F.concat(F.substring_index(t, "-", 1), F.lit("-"), F.try_element_at(remap, F.substring_index(t, "-", -1))), F.lit("O"))))
     return F.when(F.size(tokens) > 0, let(ends, lambda e: spans_of_sequence(labels, offsets(e)))).otherwise(_none())
@@ -130,6 +140,18 @@ def windows(length: Column, size: int, overlap: int) -> Column:
     return F.when(length > 0, all_of).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+def token_windows(offsets: Column, size: int, overlap: int) -> Column:
+    """Windows of `size` tokens as struct(start, end) in characters, from the first token's start to the last one's end."""
+    return F.transform(windows(F.size(offsets), size, overlap), lambda w: F.struct(F.get(offsets, w["start"])["a"].cast("int").alias("start"), F.get(offsets, w["end"] - 1)["b"].cast("int").alias("end")))
+
+
+def collapsed_spans(labels: Column, offsets: Column) -> Column:
+    """Runs of tokens of one category as spans, whatever the labels' prefixes; tokens without width are special and end nothing."""
+    pairs = F.filter(F.zip_with(labels, offsets, lambda lab, t: F.struct(lab.alias("lab"), t["a"].alias("a"), t["b"].alias("b"))), lambda x: x["a"] < x["b"])
+    plain = lambda p: F.transform(p, lambda x: F.when(x["lab"] == "O", "O").otherwise(F.concat(F.lit("I-"), category_of(x["lab"]))))
+    return let(pairs, lambda p: spans_of_sequence(plain(p), F.transform(p, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))))
+
+
 def biased_argmax(logits: Column, bias: float, outside: int = 0) -> Column:
     """The greatest logit's index (the first of equals), the outside label's lowered by the bias."""
     lowered = F.transform(logits, lambda x, i: F.when(i == outside, x - bias).otherwise(x))

@@ -16,52 +16,32 @@ C = F.col
 COUNTS = ["tp", "fp", "fn"]
 
 
-def _labels(*arrays: Column) -> Column:
-    return F.array_distinct(F.concat(*(F.transform(a, lambda s: s["label"]) for a in arrays)))
-
-
-def _covered(spans: Column) -> Column:
-    """Characters that spans cover together, as an interval sweep."""
-    ends = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))))
-    begin = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
-    step = lambda acc, s: F.struct(F.greatest(acc["last"], s["b"]).alias("last"), (acc["n"] + F.greatest(s["b"] - F.greatest(acc["last"], s["a"]), F.lit(0))).alias("n"))
-    return F.aggregate(ends, begin, step, lambda acc: acc["n"])
-
-
-def _merged(spans: Column) -> Column:
-    """The spans' union as disjoint, ordered intervals."""
-    kind = "array<struct<start:int,end:int>>"
-    ends = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
-
-    def step(out: Column, s: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(out) == 0) | (s["start"] > last["end"]), F.concat(out, F.array(s))).otherwise(joined)
-
-    return F.aggregate(ends, F.array().cast(kind), step)
-
-
-def _common(a: Column, b: Column) -> Column:
-    """Characters in both of two unions of disjoint intervals."""
-    each = lambda x: F.aggregate(b, F.lit(0), lambda n, y: n + F.greatest(F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]), F.lit(0)))
-    return F.aggregate(a, F.lit(0), lambda n, x: n + each(x))
-
-
-def _of(spans: Column, label: Column) -> Column:
-    return F.filter(spans, lambda s: s["label"] == label)
-
-
 def row_counts(rows: DataFrame) -> DataFrame:
-    """row_id, language, label, tp, fp, fn, char_tp, char_fp, char_fn, n_gold per row and label. Characters are counted by intervals, never one by one."""
-    gold, pred = F.coalesce("gold", F.array().cast(dict(rows.dtypes)["gold"])), F.coalesce("pred", F.array().cast(dict(rows.dtypes)["pred"]))
-    clean = rows.select("row_id", "language", F.array_distinct(gold).alias("gold"), F.array_distinct(pred).alias("pred"), F.transform(gold, lambda s: s["label"]).alias("gold_labels"))
-    each = clean.withColumn("label", F.explode(_labels(C("gold"), C("pred")))).withColumns({"g": _of(C("gold"), C("label")), "p": _of(C("pred"), C("label"))})
-    sized = each.withColumns({"gu": _merged(C("g")), "pu": _merged(C("p")), "tp": F.size(F.array_intersect("g", "p"))})
-    both, width = _common(C("gu"), C("pu")), lambda u: F.aggregate(u, F.lit(0), lambda n, x: n + x["end"] - x["start"])
-    return sized.withColumn("char_tp", both).select(
-        "row_id", "language", "label", "tp", (F.size("p") - C("tp")).alias("fp"), (F.size("g") - C("tp")).alias("fn"), "char_tp",
-        (width(C("pu")) - C("char_tp")).alias("char_fp"), (width(C("gu")) - C("char_tp")).alias("char_fn"),
-        F.size(F.filter("gold_labels", lambda x: x == C("label"))).alias("n_gold"),
+    """row_id, language, label, tp, fp, fn, char_tp, char_fp, char_fn, n_gold per row and label.
+
+    One shuffle by (row, label); then distinct spans, and characters by a sweep over the spans' ends, never one by one. A long row is
+    as many rows as it has spans, so that no array work is quadratic.
+    """
+    side = lambda name, n: F.transform(F.coalesce(name, F.array().cast(dict(rows.dtypes)[name])), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"), F.lit(n).alias("side")))
+    long = rows.select("row_id", "language", F.explode(F.concat(side("gold", 0), side("pred", 1))).alias("x")).select("row_id", "language", "x.*")
+    keys = ["row_id", "language", "label"]
+    dealt = long.repartition(*keys)
+    spans = dealt.groupBy(*keys, "start", "end").agg(F.count_if(C("side") == 0).alias("n_gold"), F.count_if(C("side") == 1).alias("n_pred"))
+    g, p = (C("n_gold") > 0).cast("int"), (C("n_pred") > 0).cast("int")
+    counted = spans.select(*keys, "start", "end", "n_gold", g.alias("g"), p.alias("p"))
+    # at its start a span brings its counts and covers characters, at its end it covers them no longer
+    wide = C("end") > C("start")
+    begin = F.struct(C("start").alias("at"), F.when(wide, C("g")).otherwise(0).alias("dg"), F.when(wide, C("p")).otherwise(0).alias("dp"), (C("g") * C("p")).alias("tp"), (C("p") * (1 - C("g"))).alias("fp"), (C("g") * (1 - C("p"))).alias("fn"), C("n_gold"))
+    zero = F.lit(0)
+    finish = F.struct(C("end").alias("at"), F.when(wide, -C("g")).otherwise(0).alias("dg"), F.when(wide, -C("p")).otherwise(0).alias("dp"), zero.alias("tp"), zero.alias("fp"), zero.alias("fn"), zero.cast("long").alias("n_gold"))
+    events = counted.select(*keys, F.explode(F.array(begin, finish)).alias("v")).select(*keys, "v.*")
+    places = events.groupBy(*keys, "at").agg(*(F.sum(c).alias(c) for c in ("dg", "dp", "tp", "fp", "fn", "n_gold")))
+    order = Window.partitionBy(*keys).orderBy("at")
+    swept = places.withColumns({"cg": F.sum("dg").over(order) > 0, "cp": F.sum("dp").over(order) > 0, "width": F.lead("at").over(order) - C("at")})
+    width = lambda where: F.sum(F.when(where, F.coalesce("width", F.lit(0))).otherwise(0))
+    return swept.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in COUNTS),
+        width(C("cg") & C("cp")).alias("char_tp"), width(~C("cg") & C("cp")).alias("char_fp"), width(C("cg") & ~C("cp")).alias("char_fn"), F.sum("n_gold").alias("n_gold"),
     )
 
 
@@ -103,6 +83,13 @@ def weighted(cells: DataFrame, keys: list[str]) -> DataFrame:
     return (known.groupBy(*keys) if keys else known.groupBy()).agg(F.round(F.try_divide(F.sum(C("char_f1") * C("n_gold")), F.sum("n_gold")), 6).alias("char_f1"), F.sum("n_gold").alias("n_gold"))
 
 
+def margins(cells: DataFrame) -> DataFrame:
+    """language, label, char_f1, n_gold: the cells' averages per language (label null), per label (language null) and over all (both null); one pass by grouping sets."""
+    known = cells.where("char_f1 is not null")
+    f1 = F.round(F.try_divide(F.sum(C("char_f1") * C("n_gold")), F.sum("n_gold")), 6)
+    return known.groupingSets([[C("language")], [C("label")], []], C("language"), C("label")).agg(f1.alias("char_f1"), F.sum("n_gold").alias("n_gold"))
+
+
 def soft_counts(gold: Column, pred: Column) -> Column:
     """struct(tp, fp, fn) by overlap with a span of the same label."""
     same = lambda a, b: (a["label"] == b["label"]) & overlaps(a, b)
@@ -163,6 +150,13 @@ def ranking(results: DataFrame, headline: str) -> DataFrame:
     return results.withColumn("place", place).withColumn("best", score == F.max(score).over(Window.partitionBy("language")))
 
 
+def rivals(results: DataFrame, headline: str, n: int = 2) -> DataFrame:
+    """language, system, place of the n best systems besides the headline in each language."""
+    score = F.coalesce("strict_f1", "per_f1")
+    place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc_nulls_last(score), "system"))
+    return results.where(C("system") != headline).withColumn("place", place).where(C("place") <= n).select("language", "system", "place")
+
+
 def entity_rows(labels: Column) -> Column:
     """Entities of a label sequence as struct(start, end, label), token numbers; a change of category or a B or S starts one."""
     from spanwright.functions.sequences import spans_of_sequence
