@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.operators import balance, merge
@@ -28,8 +28,8 @@ CLAIMS_SQL = " UNION ALL ".join(
 )
 _KEY_SQL = "lower(replace(value, 'ß', 'ss'))"
 MERGE_SQL = f"""WITH w AS ({WORDS_SQL}), claims AS ({CLAIMS_SQL}),
-k AS (SELECT *, {_KEY_SQL} AS key, r * 1000 + pos AS turn FROM claims),
-g AS (SELECT id, key, label, arg_min({{'s': s, 'e': e, 'v': value}}, (s - e) * 1000000 + turn) AS b, list_sort(list(DISTINCT source)) AS signals, arg_min(subtype, turn) FILTER (subtype IS NOT NULL) AS subtype, min(turn) AS turn FROM k GROUP BY id, key, label),
+k AS (SELECT *, {_KEY_SQL} AS key, CAST(r AS BIGINT) * 1000000 + pos AS turn FROM claims),
+g AS (SELECT id, key, label, arg_min({{'s': s, 'e': e, 'v': value}}, CAST(s - e AS BIGINT) * 100000000 + turn) AS b, list_sort(list(DISTINCT source)) AS signals, arg_min(subtype, turn) FILTER (subtype IS NOT NULL) AS subtype, min(turn) AS turn FROM k GROUP BY id, key, label),
 merged AS (SELECT id, b.s AS s, b.e AS e, label, b.v AS value, signals, len(list_filter(signals, lambda x: x <> 'audit')) AS n, subtype, turn FROM g WHERE len(list_filter(signals, lambda x: x <> 'audit')) > 0),
 places AS (SELECT DISTINCT {_KEY_SQL} AS place FROM (SELECT value FROM w WHERE i = 3)),
 moved AS (SELECT m.* REPLACE (CASE WHEN m.label = 'private_person' AND p.place IS NOT NULL THEN 'private_address' ELSE m.label END AS label) FROM merged m LEFT JOIN places p ON lower(replace(m.value, 'ß', 'ss')) = p.place),
@@ -63,17 +63,18 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.assemble(claims(spark, sf_dir), candidate_counts(spark, sf_dir), places(spark, sf_dir))
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    return df.select("id", C("start").alias("s"), C("end").alias("e"), "label", "value", F.array_join("signals", ",").alias("signals"), F.coalesce("subtype", F.lit("")).alias("subtype"))
+def _flat(df: DataFrame, *more: Column) -> DataFrame:
+    return df.select("id", C("start").alias("s"), C("end").alias("e"), "label", "value", F.array_join("signals", ",").alias("signals"), F.coalesce("subtype", F.lit("")).alias("subtype"), *more)
 
 
 _FLAT = "id, s, e, label, value, array_to_string(signals, ',') AS signals, coalesce(subtype, '') AS subtype"
 
 
-@query("s03_last_by_id", "SELECT o_custkey AS id, arg_max(o_orderkey, o_orderkey) AS last FROM orders WHERE o_custkey % 10 <> 0 GROUP BY 1")
+@query("s03_last_by_id", "SELECT o_custkey AS id, CASE WHEN max(o_orderkey) % 3 <> 0 THEN max(o_orderkey) END AS last, CASE WHEN max(o_orderkey) % 3 <> 0 THEN 1 ELSE 0 END AS n FROM orders WHERE o_custkey % 10 <> 0 GROUP BY 1")
 def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "orders").select(F.when(C("o_custkey") % 10 != 0, C("o_custkey")).alias("id"), F.when(C("o_orderkey") % 2 >= 0, F.array("o_orderkey")).alias("spans"), C("o_orderkey").alias("pos"))
-    return merge.last_by_id(rows, "id", "spans", "pos").select("id", C("spans")[0].alias("last"))
+    rows = load(spark, sf_dir, "orders").select(F.when(C("o_custkey") % 10 != 0, C("o_custkey")).alias("id"), F.when(C("o_orderkey") % 3 != 0, F.array("o_orderkey")).alias("spans"), C("o_orderkey").alias("pos"))
+    last = merge.last_by_id(rows, "id", "spans", "pos")  # a last row without spans counts as one with none
+    return last.select("id", F.get("spans", F.lit(0)).alias("last"), F.size("spans").alias("n"))
 
 
 @query("s04_by_ids", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
@@ -108,8 +109,7 @@ def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a03_assembled", f"{MERGE_SQL} SELECT {_FLAT}, round(confidence, 6) AS confidence FROM assembled")
 def a03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = assembled(spark, sf_dir)
-    return _flat(df.withColumn("c", F.round("confidence", 6))).join(df.select("id", C("start").alias("s"), C("end").alias("e"), F.round("confidence", 6).alias("confidence")), ["id", "s", "e"])
+    return _flat(assembled(spark, sf_dir), F.round("confidence", 6).alias("confidence"))
 
 
 @query("a05_assemble_summary", f"{MERGE_SQL}, x AS (SELECT id, unnest(signals) AS signal FROM assembled) SELECT signal, count(*) AS n_spans, count(DISTINCT id) AS n_chunks, round(100.0 * count(DISTINCT id) / (SELECT count(*) FROM documents), 4) AS coverage FROM x GROUP BY 1")
@@ -124,7 +124,7 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUBSETS = [*REAL_SOURCES, *SYNTHETIC_SOURCES]
 _SUBSET = "CASE l_partkey % 13 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SUBSETS)) + " END"
 _LANG = "CASE l_orderkey % 5 WHEN 0 THEN 'de_ch' WHEN 1 THEN 'fr_ch' WHEN 2 THEN 'it_ch' WHEN 3 THEN 'rm' ELSE 'en' END"
-CHUNK_COLUMNS = f"CAST(l_orderkey AS STRING) || '#' || CAST(l_linenumber AS STRING) || '#' || CAST(l_partkey AS STRING) || '#' || CAST(l_suppkey AS STRING) AS id, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS pos, {_LANG} AS language, {_SUBSET} AS subset, 'd' || CAST(CAST(floor(l_orderkey / 60) AS BIGINT) AS STRING) AS doc_id, l_partkey, l_suppkey, l_linenumber"
+CHUNK_COLUMNS = f"CAST(l_orderkey AS STRING) || '#' || CAST(l_linenumber AS STRING) || '#' || CAST(l_partkey AS STRING) || '#' || CAST(l_suppkey AS STRING) || '#' || CAST(CAST(l_quantity AS INT) AS STRING) AS id, ((l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS pos, {_LANG} AS language, {_SUBSET} AS subset, 'd' || CAST(CAST(floor(l_orderkey / 60) AS BIGINT) AS STRING) AS doc_id, l_partkey, l_suppkey, l_linenumber"
 SPAN_LABEL = CATEGORY.format(n="l_partkey + n * 3")
 _CONF = "CAST((l_partkey * 7 + n * 5) % 5 AS DOUBLE) / 4"
 SPAN_COLUMNS = f"id, pos, CAST(n AS INT) AS n, language, subset, doc_id, {SPAN_LABEL} AS label, 'v' || CAST((l_suppkey * 3 + n) % 12 AS STRING) AS key, {_CONF} AS confidence"

@@ -191,7 +191,7 @@ RECOGNISER_SCORES = {"private_email": 1.0, "private_url": 0.6, "private_phone":
 
 @query(
     "x06_scored_recognisers",
-    f"""{SPANS_SQL} SELECT doc_id, s, e, label, score FROM (SELECT *, CASE label WHEN 'private_email' THEN 1.0 WHEN 'private_url' THEN 0.6 WHEN 'private_phone' THEN 0.75 WHEN 'account_number' THEN 0.95 WHEN 'private_date' THEN 0.5 END AS score FROM found)
+    f"""{SPANS_SQL} SELECT doc_id, s, e, label, score FROM (SELECT *, CASE label WHEN 'private_email' THEN CAST(1.0 AS DOUBLE) WHEN 'private_url' THEN 0.6 WHEN 'private_phone' THEN 0.75 WHEN 'account_number' THEN 0.95 WHEN 'private_date' THEN 0.5 END AS score FROM found)
 WHERE score >= 0.6""",
 )
 def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,15 +218,17 @@ def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x08_locate_in_order",
-    """WITH d AS (SELECT doc_id, text, regexp_split_to_array(substr(text, 1, 240), '[ \\n]') AS w FROM documents),
-a AS (SELECT doc_id, text, w[2] AS v1, w[3] AS v2 FROM d WHERE len(w) >= 3 AND length(w[2]) > 0 AND length(w[3]) > 0),
+    """WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT doc_id, text, w[CAST(floor((len(w) + 1) / 2) AS BIGINT)] AS v1, w[len(w)] AS v2 FROM d WHERE len(w) >= 2),
 b AS (SELECT *, instr(text, v1) - 1 AS s1 FROM a)
 SELECT doc_id, CAST(s1 AS INTEGER) AS s1, CAST(s1 + length(v1) + instr(substr(text, s1 + length(v1) + 1), v2) - 1 AS INTEGER) AS s2 FROM b""",
 )
 def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.split(F.substring("text", 1, 240), "[ \n]")
-    docs = load(spark, sf_dir, "documents").withColumn("w", w).where((F.size("w") >= 3) & (F.length(F.try_element_at("w", F.lit(2))) > 0) & (F.length(F.try_element_at("w", F.lit(3))) > 0))
-    return docs.select("doc_id", spans.locate_in_order(F.col("text"), F.slice("w", 2, 2)).alias("x")).select("doc_id", F.col("x")[0]["start"].alias("s1"), F.col("x")[1]["start"].alias("s2"))
+    """The word in the middle of a text and then its last one."""
+    w = F.filter(F.split("text", "[ \n]"), lambda x: x != "")
+    docs = load(spark, sf_dir, "documents").withColumn("w", w).where(F.size("w") >= 2)
+    asked = F.array(F.element_at("w", F.floor((F.size("w") + 1) / 2).cast("int")), F.element_at("w", -1))
+    return docs.select("doc_id", spans.locate_in_order(F.col("text"), asked).alias("x")).select("doc_id", F.col("x")[0]["start"].alias("s1"), F.col("x")[1]["start"].alias("s2"))
 
 
 @query(

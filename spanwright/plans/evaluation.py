@@ -88,6 +88,20 @@ def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.weighted(score.matrix(scored(spark, sf_dir)), ["language"])
 
 
+@query("a14_margins", f"WITH {_STRICT}, m AS (SELECT lang AS language, label, n_gold, {_prf('char_')} FROM cells) SELECT coalesce(language, 'all') AS language, coalesce(label, 'all') AS label, round(sum(char_f1 * n_gold) / sum(n_gold), 6) AS char_f1, CAST(sum(n_gold) AS BIGINT) AS n_gold FROM m GROUP BY GROUPING SETS ((language), (label), ())")
+def a14_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 by row, column and in all."""
+    out = score.margins(score.matrix(scored(spark, sf_dir)))
+    return out.select(F.coalesce("language", F.lit("all")).alias("language"), F.coalesce("label", F.lit("all")).alias("label"), "char_f1", "n_gold")
+
+
+@query("a20_rivals", "WITH r AS (SELECT n_regionkey AS language, n_name AS system, coalesce(CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey / 30 END, n_nationkey / 40) AS score FROM nation), o AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY score DESC, system) AS place FROM r WHERE system <> (SELECT max(system) FROM r)) SELECT language, system, CAST(place AS INTEGER) AS place FROM o WHERE place <= 2")
+def a20_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = load(spark, sf_dir, "nation")
+    rows = nation.select(C("n_regionkey").alias("language"), C("n_name").alias("system"), F.when(C("n_nationkey") % 3 != 0, C("n_nationkey") / 30).alias("strict_f1"), (C("n_nationkey") / 40).alias("per_f1"))
+    return score.rivals(rows, nation.agg(F.max("n_name")).first()[0])
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(spark, sf_dir).where("source <> 'regex'").select("id", value_key(C("value")).alias("key"), "label", C("source").alias("model"))
 
@@ -113,8 +127,8 @@ def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.fuzzy_counts(score.consensus(votes(spark, sf_dir)), pred)
 
 
-#: A probe per document: the first words, nothing expected in every fifth one.
-_CASES = f"""w AS ({WORDS_SQL}), g AS (SELECT doc_id, lang, source, s, e, {_CAT} AS label FROM w WHERE i <= 3 AND doc_id % 5 <> 0), p AS (SELECT doc_id, s, {_PRED_END} AS e, {_PRED_LABEL} AS label FROM w WHERE i <= 3 AND (doc_id + i) % 3 <> 0 AND doc_id % 10 <> 0),
+#: A probe per document: three words in forty of its whole text, nothing expected in every fifth one.
+_CASES = f"""w AS ({WORDS_SQL}), g AS (SELECT doc_id, lang, source, s, e, {_CAT} AS label FROM w WHERE i % 40 < 3 AND doc_id % 5 <> 0), p AS (SELECT doc_id, s, {_PRED_END} AS e, {_PRED_LABEL} AS label FROM w WHERE i % 40 < 3 AND (doc_id + i) % 3 <> 0 AND doc_id % 10 <> 0),
 d AS (SELECT DISTINCT doc_id, lang, source FROM w),
 c AS (SELECT d.doc_id, d.lang, d.source, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) AS n,
   (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id AND EXISTS (SELECT 1 FROM p WHERE p.doc_id = g.doc_id AND p.label = g.label AND p.s < g.e AND g.s < p.e)) AS tp,
@@ -127,8 +141,8 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda end, label: F.struct(C("s").cast("int").alias("start"), F.expr(end).cast("int").alias("end"), F.expr(label).alias("label"))
     w = words(spark, sf_dir)
     rows = w.groupBy(C("doc_id").alias("case_id"), C("lang").alias("language"), C("source").alias("tag")).agg(
-        F.collect_list(F.when(F.expr("i <= 3 AND doc_id % 5 <> 0"), span("e", _CAT))).alias("gold"),
-        F.collect_list(F.when(F.expr("i <= 3 AND (doc_id + i) % 3 <> 0 AND doc_id % 10 <> 0"), span(_PRED_END, _PRED_LABEL))).alias("pred"),
+        F.collect_list(F.when(F.expr("i % 40 < 3 AND doc_id % 5 <> 0"), span("e", _CAT))).alias("gold"),
+        F.collect_list(F.when(F.expr("i % 40 < 3 AND (doc_id + i) % 3 <> 0 AND doc_id % 10 <> 0"), span(_PRED_END, _PRED_LABEL))).alias("pred"),
     )
     counted = rows.withColumn("x", score.soft_counts(C("gold"), C("pred")))
     return counted.select("case_id", "language", "tag", "x.*", score.verdict(C("gold"), C("x")).alias("verdict"))

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from spanwright.functions.checks import VAT_WEIGHTS
+from spanwright.session import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +53,7 @@ DATE = f"(CASE WHEN {K} % 2 = 0 THEN CAST(1 + {K} % 28 AS STRING) || '.' || CAST
 _MD5 = f"md5(CAST({K} AS STRING))"
 SECRET = f"(CASE {K} % 3 WHEN 0 THEN 'ghp_' || {_MD5} || substr({_MD5}, 1, 4) WHEN 1 THEN 'AKIA' || upper(substr({_MD5}, 1, 16)) ELSE 'sk-proj-' || substr({_MD5}, 1, 24) END)"
 _CARD_CONTEXT = f"CASE {K} % 6 WHEN 0 THEN 'IMEI ' WHEN 1 THEN 'Karte ' WHEN 2 THEN 'Tabelle 12 7 2011 ' ELSE 'bezahlt mit ' END"
-_REFERENCE = f"CASE WHEN {K} % 8 = 0 THEN ' DOI: 10.5555/07.ABC.0000345678.12345.67 ' WHEN {K} % 8 = 1 THEN ' Skala 18 19 20 21 22 23 24 25 Ende' ELSE '' END"
+_REFERENCE = f"CASE WHEN {K} % 8 = 0 THEN ' DOI: 10.5555/07.ABC.0000345678.12345.67 ' WHEN {K} % 8 = 1 THEN ' Skala 31 32 33 34 35 36 37 38 Ende' WHEN {K} % 8 = 2 THEN ' Mail: -buero@firma.example.ch, ...max@post.example.ch Ende' ELSE '' END"
 TEXT = f"""(text || ' Kontakt: ' || {EMAIL} || ', ' || {URL} || ' Telefon ' || {PHONE} || '; Konto ' || {IBAN} || ' / AHV ' || {AHV}
  || ' / ' || {VAT} || '. Der Betrag wurde mit der folgenden Nummer am Schalter gebucht und danach ohne weiteren Vermerk abgelegt: ' || {_CARD_CONTEXT} || {CARD}
  || ' sowie am Tag ' || {DATE} || ' mit dem Schluessel ' || {SECRET} || {_REFERENCE})"""
@@ -59,27 +62,25 @@ PII_DOCS_SQL = f"SELECT doc_id, lang, source, {TEXT} AS text FROM documents"
 
 def pii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, text: the documents, each with one of most kinds of personal data at its end."""
-    return load(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{TEXT} AS text")
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).selectExpr("doc_id", "lang", "source", f"{TEXT} AS text")
 
 
-# -- words of each document's first part, as spans
+# -- the words of each document, as spans
 
-_FIRST = "substr(text, 1, 240)"
 CATEGORY = "CASE ({n}) % 8 WHEN 0 THEN 'account_number' WHEN 1 THEN 'private_address' WHEN 2 THEN 'private_date' WHEN 3 THEN 'private_email' WHEN 4 THEN 'private_person' WHEN 5 THEN 'private_phone' WHEN 6 THEN 'private_url' ELSE 'secret' END"
 LANGUAGE = "CASE lang WHEN 'de' THEN 'de_ch' WHEN 'fr' THEN 'fr_ch' WHEN 'es' THEN 'it_ch' ELSE 'en' END"
 WORDS_SQL = f"""
-SELECT doc_id, {LANGUAGE} AS lang, source, i, w[i] AS value,
-  CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS s,
-  CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0) + length(w[i]) AS INTEGER) AS e
-FROM (SELECT doc_id, lang, source, regexp_split_to_array({_FIRST}, '[ \\n]') AS w, unnest(generate_series(1, 12)) AS i FROM documents)
-WHERE i <= len(w) AND length(w[i]) > 0
+SELECT doc_id, lang, source, i, value, CAST(e - length(value) AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (
+  SELECT *, sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e
+  FROM (SELECT doc_id, {LANGUAGE} AS lang, source, unnest(w) AS value, unnest(generate_series(1, len(w))) AS i FROM (SELECT doc_id, lang, source, regexp_split_to_array(text, '[ \\n]') AS w FROM documents)))
+WHERE length(value) > 0
 """
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, i, value, s, e: up to twelve words of each document's first part with their offsets."""
-    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", f"{LANGUAGE} AS lang", "source", f"{_FIRST} AS head")
-    ends = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.aggregate(F.slice("w", F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x) + 1) - 1)
-    split = docs.withColumn("w", F.slice(F.split("head", "[ \n]"), 1, 12)).withColumn("ends", ends)
-    rows = split.select("doc_id", "lang", "source", F.posexplode(F.arrays_zip("w", "ends")).alias("i", "x"))
-    return rows.select("doc_id", "lang", "source", (F.col("i") + 1).alias("i"), F.col("x.w").alias("value"), (F.col("x.ends") - F.length("x.w")).alias("s"), F.col("x.ends").alias("e")).where(F.length("value") > 0)
+    """doc_id, lang, source, i, value, s, e: all words of the whole texts with their offsets; one shuffle, by doc_id."""
+    docs = spread(load(spark, sf_dir, "documents").selectExpr("doc_id", f"{LANGUAGE} AS lang", "source", "text"))
+    rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "[ \n]")).alias("i", "value"))
+    end = F.sum(F.length("value") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - 1
+    placed = rows.withColumn("e", end.cast("int")).where(F.length("value") > 0)
+    return placed.select("doc_id", "lang", "source", (F.col("i") + 1).alias("i"), "value", (F.col("e") - F.length("value")).alias("s"), "e")
