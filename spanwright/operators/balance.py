@@ -1,15 +1,19 @@
 """A corpus balanced by caps per document, value and cell, with negatives, and split without leaks.
 
-Metadata only goes through these steps; texts join the admitted ids at the end.
+Metadata only goes through these steps; texts join the admitted ids at the end. No step brings a language or a source, however large, to one
+task: sequential choices see candidates whose number the caps bound, or strata cut by hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanwright.schema import CATEGORIES as LABELS
 from spanwright.schema import SYNTHETIC_SOURCES
 
 C = F.col
@@ -68,44 +72,73 @@ def cap_values(spans: DataFrame) -> DataFrame:
     return kept.where(C("nth") <= value_cap(C("language"), C("label"), C("subset"))).drop("nth", "budget")
 
 
-_ADMIT = "id string, admitted boolean"
+_ADMIT = "id string"
+#: Tasks among which the chunks of one kind are first cut down to their number.
+SALTS = 16
 
 
-def admit_by_cells(spans: DataFrame, seed: int = SEED) -> DataFrame:
-    """id, admitted of the chunks that have spans: those richest in categories, then in spans, first; each as long as none of its cells overflows.
+def admit_by_cells(spans: DataFrame, seed: int = SEED, cap: Callable[[Column, Column, Column], Column] = cell_cap) -> DataFrame:
+    """id, admitted of the chunks that have spans: those richest in categories, then in spans, first, ties by hash; each as long as none of its cells
+    overflows. cap: a cell's spans by (language, subset, label).
 
-    A chunk's cells are all of one language and source, so those are independent and run apart. Only ids and
-    counts reach Python.
+    A chunk's cells are all of one language and source, so those are independent. Of chunks with the same cells only the first
+    min(cap // spans) can be admitted: once one doesn't fit, no later one of its kind does. So each kind is cut to that many, a number that the caps
+    bound and not the corpus, by a group limit in salted tasks, and the sequential choice, which sees ids and counts only, gives what it would give over all.
     """
     cells = spans.groupBy("language", "subset", "id", "label").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("cap", cell_cap(C("language"), C("subset"), C("label")))
-    chunks = cells.groupBy("language", "subset", "id").agg(F.collect_list(F.struct("label", "n", "cap")).alias("cells"))
-    chunks = chunks.select("language", "subset", "id", hash_order(seed, C("id")).alias("h"), C("cells.label").alias("labels"), C("cells.n").alias("ns"), C("cells.cap").alias("caps"))
+    cells = cells.withColumn("cap", cap(C("language"), C("subset"), C("label")).cast("long"))
+    chunks = cells.groupBy("language", "subset", "id").agg(F.array_sort(F.collect_list(F.struct("label", "n", "cap"))).alias("cells"))
+    most = F.array_min(F.transform("cells", lambda c: F.floor(c["cap"] / c["n"]).cast("long")))
+    chunks = chunks.select("language", "subset", "id", hash_order(seed, C("id")).alias("h"), "cells", most.alias("most"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    some = chunks
+    for keys in (["language", "subset", "cells", "salt"], ["language", "subset", "cells"]):
+        some = some.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(C("nth") <= C("most")).drop("nth")
+    lean = some.select("language", "subset", "id", "h", C("cells.label").alias("labels"), C("cells.n").alias("ns"), C("cells.cap").alias("caps"))
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
         part = part.assign(k=-part["labels"].map(len), n=-part["ns"].map(sum)).sort_values(["k", "n", "h", "id"])
         used: dict[str, int] = {}
         admitted = []
-        for labels, ns, caps in zip(part["labels"], part["ns"], part["caps"]):
-            fits = all(used.get(label, 0) + n <= cap for label, n, cap in zip(labels, ns, caps))
-            if fits:
+        for i, labels, ns, caps in zip(part["id"], part["labels"], part["ns"], part["caps"]):
+            if all(used.get(label, 0) + n <= most for label, n, most in zip(labels, ns, caps)):
+                admitted.append(i)
                 for label, n in zip(labels, ns):
                     used[label] = used.get(label, 0) + n
-            admitted.append(fits)
-        return pd.DataFrame({"id": part["id"], "admitted": admitted})
+        return pd.DataFrame({"id": admitted}, dtype=object)
+
+    chosen = lean.groupBy("language", "subset").applyInPandas(greedy, _ADMIT).withColumn("in", F.lit(True))
+    return chunks.select("id").join(chosen, "id", "left").select("id", F.coalesce("in", F.lit(False)).alias("admitted"))
+
 
-    return chunks.groupBy("language", "subset").applyInPandas(greedy, _ADMIT)
+def hash_number(h: Column, digits: int = 4) -> Column:
+    """The first hexadecimal digits of a hash as a number; orders as the hash does."""
+    return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
+
+
+def first_by_hash(pool: DataFrame, most: DataFrame, keys: list[str], seed: int = SEED) -> DataFrame:
+    """The ids of the pool (keys, id) that come first by hash, as many of each key as most (keys, most) says.
+
+    Counts by the hash's first digits give the slice in which each key's quota ends; slices before it are taken whole, and only
+    that one, a 65536th of the key's rows, is ranked.
+    """
+    hashed = pool.select(*keys, "id", hash_order(seed, C("id")).alias("h")).withColumn("slice", hash_number(C("h")))
+    counts = hashed.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n"))  # 65536 rows a key at most
+    order = Window.partitionBy(*keys).orderBy("slice")
+    before = counts.withColumn("before", F.sum("n").over(order) - C("n")).join(most, keys)
+    ends = before.where((C("before") < C("most")) & (C("before") + C("n") >= C("most"))).select(*keys, C("slice").alias("last"), (C("most") - C("before")).alias("rest"))
+    whole = before.where(C("before") + C("n") < C("most")).select(*keys, "slice")
+    taken = hashed.join(whole, [*keys, "slice"], "left_semi").select("id")
+    edge = hashed.join(ends, keys).where(C("slice") == C("last"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))
+    return taken.union(edge.withColumn("nth", nth).where(C("nth") <= C("rest")).select("id"))
 
 
 def negatives(capped: DataFrame, surviving: DataFrame, admitted: DataFrame, share: float = NEGATIVES, seed: int = SEED) -> DataFrame:
-    """Ids of chunks without surviving spans: all adversarial ones, and of each language a share of its positives."""
+    """Ids of chunks without surviving spans: all adversarial ones, and of each language a share of its positives, those of least hash."""
     positives = capped.join(admitted.where("admitted").select("id"), "id", "left_semi").groupBy("language").agg(F.floor(F.count(F.lit(1)) * share).alias("most"))
-    empty = capped.join(surviving.select("id").distinct(), "id", "left_anti")
+    empty = capped.join(surviving.select("id").distinct(), "id", "left_anti").select("id", "language", "subset")
     curated = empty.where("subset = 'synthetic_adversarial'").select("id")
-    nth = F.row_number().over(Window.partitionBy("language").orderBy(hash_order(seed, C("id")), "id"))
-    pool = empty.where("subset <> 'synthetic_adversarial'").withColumn("nth", nth)
-    sampled = pool.join(F.broadcast(positives), "language").where(C("nth") <= C("most")).select("id")
-    return curated.union(sampled)
+    return curated.union(first_by_hash(empty.where("subset <> 'synthetic_adversarial'"), positives, ["language"], seed))
 
 
 def group_key(subset: Column, chunk_id: Column, doc_id: Column) -> Column:
@@ -114,15 +147,21 @@ def group_key(subset: Column, chunk_id: Column, doc_id: Column) -> Column:
 
 
 _SPLIT = "language string, subset string, grp string, split string"
+#: Groups of a stratum that are dealt out in sequence; larger strata are cut by hash.
+STRATUM = 20_000
 
 
-def assign_splits(chunks: DataFrame, seed: int = SEED) -> DataFrame:
+def assign_splits(chunks: DataFrame, seed: int = SEED, most: int = STRATUM) -> DataFrame:
     """language, subset, grp, split: groups in hash order, each to the split that lacks most chunks of its share; ties train, val, test.
 
-    Only groups' sizes reach Python, one stratum (language, source) at a time.
+    Only groups' sizes reach Python. A stratum (language, source) of more than `most` groups is cut by hash to parts of about half as many, each with its
+    own shares: a part is off its shares by no more than its last groups, as the whole would be.
     """
     sizes = chunks.groupBy("language", "subset", group_key(C("subset"), C("id"), C("doc_id")).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("h", hash_order(seed, C("grp")))
+    count = sizes.groupBy("language", "subset").agg(F.count(F.lit(1)).alias("groups"))
+    parts = F.when(C("groups") <= most, 1).otherwise(F.ceil(2 * C("groups") / most))
+    cut = sizes.join(count, ["language", "subset"]).withColumn("part", F.pmod(hash_number(C("h"), 12), parts.cast("long")))
 
     def assign(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "grp"])
@@ -134,7 +173,7 @@ def assign_splits(chunks: DataFrame, seed: int = SEED) -> DataFrame:
             chosen.append(name)
         return pd.DataFrame({"language": part["language"], "subset": part["subset"], "grp": part["grp"], "split": chosen})
 
-    return sizes.groupBy("language", "subset").applyInPandas(assign, _SPLIT)
+    return cut.select("language", "subset", "part", "grp", "n", "h").groupBy("language", "subset", "part").applyInPandas(assign, _SPLIT)
 
 
 def with_split(chunks: DataFrame, splits: DataFrame) -> DataFrame:
@@ -142,6 +181,22 @@ def with_split(chunks: DataFrame, splits: DataFrame) -> DataFrame:
     return keyed.join(splits, ["language", "subset", "grp"]).drop("grp")
 
 
+def quota_of_positives(rows: DataFrame, strata: list[str], n: int, order: list[Column], positive: Column, factor: int = 3) -> DataFrame:
+    """The first n positive rows among the first factor * n rows of each stratum: over-sampled, then kept."""
+    return quota(quota(rows, strata, factor * n, order).where(positive), strata, n, order)
+
+
+def in_blocks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows for a model that caches prefixes: those of one key together, in the given order. A key is dealt to as many partitions as its share of the
+    rows needs, so that a frequent one is no single task."""
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    share = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = share.agg(F.sum("__n").alias("__all"))  # one row
+    sized = share.crossJoin(F.broadcast(total)).select(C(key).alias("__key"), F.greatest(F.lit(1), F.ceil(C("__n") * parts / C("__all"))).alias("__m"))
+    salted = rows.join(sized, C(key).eqNullSafe(C("__key"))).withColumn("__salt", F.pmod(F.xxhash64(*order), C("__m")))
+    return salted.repartition(parts, key, "__salt").sortWithinPartitions(key, *order).drop("__key", "__m", "__salt")
+
+
 def quota(rows: DataFrame, strata: list[str], n: int, order: list[Column]) -> DataFrame:
     """The first n rows of each stratum."""
     return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(C("__nth") <= n).drop("__nth")

@@ -209,11 +209,36 @@ def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("cap", balance.cell_cap(C("language"), C("subset"), C("label")))
 
 
-@query("e03_admit_by_cells")
+def _admit_sql(cap: str) -> str:
+    """The greedy choice as a recursion over each stratum's chunks in order, with the spans used of each category so far."""
+    spot = f"list_position({balance.LABELS!r}, label)"
+    return f"""WITH RECURSIVE {PHASES_SQL[5:]},
+cells AS (SELECT language, subset, id, label, count(*) AS n, any_value({cap}) AS cap FROM surviving GROUP BY language, subset, id, label),
+per AS (SELECT language, subset, id, count(*) AS k, sum(n) AS n, [{', '.join(f"coalesce(sum(n) FILTER ({spot} = {i}), 0)" for i in range(1, 9))}] AS need, [{', '.join(f"coalesce(max(cap) FILTER ({spot} = {i}), 0)" for i in range(1, 9))}] AS room FROM cells GROUP BY 1, 2, 3),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY language, subset ORDER BY k DESC, n DESC, md5('20260522' || id), id) AS pos FROM per),
+walk AS (
+  SELECT language, subset, id, pos, {_FITS.format(used='[0, 0, 0, 0, 0, 0, 0, 0]')} AS admitted, CASE WHEN {_FITS.format(used='[0, 0, 0, 0, 0, 0, 0, 0]')} THEN need ELSE [0, 0, 0, 0, 0, 0, 0, 0] END AS used FROM ordered o WHERE pos = 1
+  UNION ALL
+  SELECT o.language, o.subset, o.id, o.pos, {_FITS.format(used='w.used')}, CASE WHEN {_FITS.format(used='w.used')} THEN {_PLUS} ELSE w.used END FROM walk w JOIN ordered o ON o.language = w.language AND o.subset = w.subset AND o.pos = w.pos + 1)
+SELECT id, admitted FROM walk"""
+
+
+_FITS = "(" + " AND ".join(f"({{used}}[{i}] + o.need[{i}] <= o.room[{i}] OR o.need[{i}] = 0)" for i in range(1, 9)) + ")"
+_PLUS = "[" + ", ".join(f"w.used[{i}] + o.need[{i}]" for i in range(1, 9)) + "]"
+
+
+@query("e03_admit_by_cells", _admit_sql(_CELL_CAP_SQL))
 def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.admit_by_cells(surviving(spark, sf_dir))
 
 
+@query("e03_admit_by_small_cells", _admit_sql("2 + length(language) * 3 + length(label)"))
+def e03_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With cells so small that most of them fill up."""
+    cap = lambda language, subset, label: 2 + F.length(language) * 3 + F.length(label)
+    return balance.admit_by_cells(surviving(spark, sf_dir), cap=cap)
+
+
 _ADMITTED = "admitted AS (SELECT DISTINCT id FROM surviving WHERE CAST(split_part(id, '#', 1) AS BIGINT) % 3 <> 0)"
 _NEGATIVES = f"""{PHASES_SQL}, {_ADMITTED},
 most AS (SELECT language, CAST(floor(count(*) * 0.1) AS BIGINT) AS most FROM capped SEMI JOIN admitted ON capped.id = admitted.id GROUP BY 1),
@@ -259,7 +284,25 @@ def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("id", balance.group_key(C("subset"), C("id"), C("doc_id")).alias("grp"))
 
 
-@query("e05_split")
+_LACKS = "CASE WHEN {t} >= {v} AND {t} >= {s} THEN 'train' WHEN {v} >= {s} THEN 'val' ELSE 'test' END"
+
+
+def _less(split: str, lack: str) -> str:
+    choice = _LACKS.format(t="w.t", v="w.v", s="w.s")
+    return f"CASE WHEN {choice} = '{split}' THEN w.{lack} - w.n ELSE w.{lack} END"
+
+
+_SPLIT_SQL = f"""WITH RECURSIVE {CHUNKS_SQL},
+grps AS (SELECT language, subset, CASE WHEN subset IN {_SYN} THEN id ELSE doc_id END AS grp, CAST(count(*) AS DOUBLE) AS n FROM chunks GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY language, subset ORDER BY md5('20260522' || grp), grp) AS pos, sum(n) OVER (PARTITION BY language, subset) AS total FROM grps),
+walk AS (
+  SELECT language, subset, grp, pos, n, CAST(0.8 AS DOUBLE) * total AS t, CAST(0.1 AS DOUBLE) * total AS v, CAST(0.1 AS DOUBLE) * total AS s FROM ordered WHERE pos = 1
+  UNION ALL
+  SELECT o.language, o.subset, o.grp, o.pos, o.n, {_less('train', 't')}, {_less('val', 'v')}, {_less('test', 's')} FROM walk w JOIN ordered o ON o.language = w.language AND o.subset = w.subset AND o.pos = w.pos + 1)
+SELECT language, subset, grp, {_LACKS.format(t='t', v='v', s='s')} AS split FROM walk"""
+
+
+@query("e05_split", _SPLIT_SQL)
 def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.assign_splits(chunks(spark, sf_dir))
 
@@ -285,6 +328,30 @@ def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.quota(load(spark, sf_dir, "lineitem"), ["l_returnflag"], 50, [balance.hash_order(5, key), C("l_orderkey"), C("l_linenumber")]).select("l_orderkey", "l_linenumber")
 
 
+_POSITIVE = "l_partkey % 3 = 0"
+
+
+@query("e06_quota_of_positives", f"WITH o AS (SELECT *, md5('5' || CAST(l_orderkey AS VARCHAR) || '#' || CAST(l_linenumber AS VARCHAR)) AS h FROM lineitem), a AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY h, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n) AS m FROM a WHERE n <= 150 AND {_POSITIVE}) SELECT l_orderkey, l_linenumber, l_partkey FROM b WHERE m <= 50")
+def e06_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat_ws("#", "l_orderkey", "l_linenumber")
+    order = [balance.hash_order(5, key), *(C(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))]
+    return balance.quota_of_positives(load(spark, sf_dir, "lineitem"), ["l_returnflag"], 50, order, F.expr(_POSITIVE)).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("e06_first_scanned", "SELECT id, pos FROM (SELECT id, pos, row_number() OVER (PARTITION BY language ORDER BY pos) AS n FROM (SELECT * FROM chunks)) WHERE n <= 40".replace("FROM chunks", f"FROM (WITH {CHUNKS_SQL} SELECT * FROM chunks)"))
+def e06_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 in the order of the file: the first rows of each language."""
+    return balance.quota(chunks(spark, sf_dir), ["language"], 40, [C("pos")]).select("id", "pos")
+
+
+@query("e09_language_blocks", f"WITH {CHUNKS_SQL} SELECT language, count(*) AS n, true AS in_blocks FROM chunks GROUP BY 1")
+def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each partition holds a language's rows in a row, in their order; counted where they lie."""
+    rows = balance.in_blocks(chunks(spark, sf_dir), "language", ["pos"]).select("language", "pos", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    span = rows.groupBy("part", "language").agg(F.count(F.lit(1)).alias("n"), (F.max("place") - F.min("place") + 1).alias("width"), F.max(F.struct("pos", "place")).alias("last"), F.max("place").alias("end"))
+    return span.groupBy("language").agg(F.sum("n").alias("n"), F.bool_and((C("n") == C("width")) & (C("last.place") == C("end"))).alias("in_blocks"))
+
+
 @query("e07_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
 def e07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").limit(100)
