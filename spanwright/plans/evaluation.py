@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanwright.functions.text import value_key
+from spanwright.functions.text import lit_map, value_key
 from spanwright.operators import score
 from spanwright.plans.balancing import MERGE_SQL, claims
 from spanwright.plans.fixtures import CATEGORY, WORDS_SQL, load, words
 from spanwright.plans.registry import query
+from spanwright.sources import external
 
 C = F.col
 _CAT = CATEGORY.format(n="doc_id + i")
@@ -192,7 +193,7 @@ def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s10_external_spans", f"WITH w AS ({WORDS_SQL}), x AS (SELECT w.doc_id, CASE WHEN i % 5 = 0 THEN -1 ELSE s END AS s, CASE WHEN i % 7 = 0 THEN s ELSE e END AS e, CASE i % 4 WHEN 0 THEN 'O' WHEN 1 THEN 'GIVENNAME' WHEN 2 THEN 'EMAIL' ELSE 'SEX' END AS label, length(d.text) AS n FROM w JOIN documents d USING (doc_id)) SELECT doc_id, s, e, CASE label WHEN 'GIVENNAME' THEN 'private_person' ELSE 'private_email' END AS label FROM x WHERE label IN ('GIVENNAME', 'EMAIL') AND s >= 0 AND e > s AND e <= n")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S10 and J12, and with them P2, P5, P6 and S11: a foreign label set mapped to ours, spans that can't be dropped."""
+    """A foreign label set mapped to ours, spans that can't be dropped."""
     from spanwright.sources.external import project_spans
 
     span = F.struct(F.when(C("i") % 5 == 0, -1).otherwise(C("s")).cast("int").alias("start"), F.when(C("i") % 7 == 0, C("s")).otherwise(C("e")).cast("int").alias("end"), F.expr("CASE i % 4 WHEN 0 THEN 'O' WHEN 1 THEN 'GIVENNAME' WHEN 2 THEN 'EMAIL' ELSE 'SEX' END").alias("label"))
@@ -201,6 +202,94 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.select("doc_id", C("x.start").alias("s"), C("x.end").alias("e"), C("x.label").alias("label"))
 
 
+#: The label tables once more, written by category for SQL, and some labels that none has.
+_MASKED = """CASE WHEN label IN ('GIVENNAME', 'SURNAME', 'TITLE', 'USERNAME', 'MIDDLENAME', 'LASTNAME', 'FIRSTNAME', 'PREFIX') THEN 'private_person' WHEN label = 'EMAIL' THEN 'private_email'
+ WHEN label IN ('TELEPHONENUM', 'PHONENUM') THEN 'private_phone' WHEN label IN ('URL', 'IPV6', 'IPV4') THEN 'private_url' WHEN label IN ('TIME', 'DOB', 'DATE') THEN 'private_date'
+ WHEN label IN ('GEOCOORD', 'SECONDARYADDRESS', 'COUNTY', 'ZIPCODE', 'STATE', 'CITY', 'BUILDINGNUM', 'STREET') THEN 'private_address'
+ WHEN label IN ('PASSWORD', 'MAC', 'USERAGENT', 'PHONEIMEI', 'VEHICLEVIN', 'VEHICLEVRM') THEN 'secret'
+ WHEN label IN ('PIN', 'LITECOINADDRESS', 'ETHEREUMADDRESS', 'BITCOINADDRESS', 'PASSPORTNUM', 'SOCIALNUM', 'IDCARDNUM', 'DRIVERLICENSENUM', 'TAXNUM', 'ACCOUNTNUM', 'BIC', 'IBAN', 'CREDITCARDCVV', 'CREDITCARDISSUER', 'CREDITCARDNUMBER') THEN 'account_number' END"""
+_FINANCIAL = """CASE WHEN label IN ('name', 'first_name', 'last_name', 'user_name') THEN 'private_person' WHEN label = 'email' THEN 'private_email' WHEN label = 'phone_number' THEN 'private_phone'
+ WHEN label IN ('street_address', 'local_latlng') THEN 'private_address' WHEN label IN ('time', 'date_time', 'date_of_birth', 'date') THEN 'private_date' WHEN label IN ('ipv6', 'ipv4') THEN 'private_url'
+ WHEN label IN ('api_key', 'password', 'account_pin') THEN 'secret'
+ WHEN label IN ('employee_id', 'customer_id', 'driver_license_number', 'passport_number', 'ssn', 'bank_routing_number', 'swift_bic_code', 'credit_card_security_code', 'credit_card_number', 'bban', 'iban') THEN 'account_number' END"""
+
+
+def _corpus_query(name: str, corpus: str, remap: dict, text: str, spans: str, mapped: str, as_json: bool) -> None:
+    """Every label of a corpus in turn on the words, with some that it doesn't know; kept are those with one of ours."""
+    labels = [*sorted(remap), "NOVEL", "novel_label"]
+
+    @query(name, f"WITH x AS (SELECT doc_id, s, e, {labels!r}[CAST((doc_id + i) % {len(labels)} + 1 AS BIGINT)] AS label FROM ({WORDS_SQL})) SELECT doc_id, s, e, mapped AS label FROM (SELECT *, {mapped} AS mapped FROM x) WHERE mapped IS NOT NULL")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from spanwright.sources.external import CORPORA
+
+        label = F.get(F.array(*(F.lit(x) for x in labels)), ((C("doc_id") + C("i")) % len(labels)).cast("int"))
+        own = words(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct(C("s").alias("start"), C("e").alias("end"), label.alias("label"))).alias(spans))
+        table = own.join(load(spark, sf_dir, "documents").select("doc_id", C("text").alias(text), C("lang").alias("language")), "doc_id")
+        table = table.withColumn(spans, F.to_json(spans)) if as_json else table
+        out = CORPORA[corpus].rows(table).select("doc_id", F.explode("spans").alias("x"))
+        return out.select("doc_id", C("x.start").alias("s"), C("x.end").alias("e"), C("x.label").alias("label"))
+
+
+_corpus_query("s09_masking_corpus", "openpii", external.MASKING, "source_text", "privacy_mask", _MASKED, False)
+_corpus_query("s09_masking_corpus_500k", "openpii_500k", external.MASKING, "source_text", "privacy_mask", _MASKED, False)
+_corpus_query("s09_finance_corpus", "gretel", external.FINANCE, "generated_text", "pii_spans", _FINANCIAL, True)
+
+_KINDS9 = ["O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC", "B-MISC", "I-MISC"]
+
+
+def _tag_query(name: str, corpus: str, names: list[str], numbered: bool) -> None:
+    """Tags in turn on the words joined by blanks: persons are spans, a B or another tag begins or ends one."""
+    tag = f"{names!r}[CAST(((k * k + doc_id) % {len(names)}) + 1 AS BIGINT)]"
+
+    @query(
+        name,
+        f"""WITH r AS (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS k FROM ({WORDS_SQL})),
+t AS (SELECT *, {tag} AS tag, coalesce(sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM r),
+p AS (SELECT *, tag IN ('B-PER', 'I-PER') AS person FROM t),
+f AS (SELECT *, CASE WHEN person AND tag = 'I-PER' AND lag(person) OVER q THEN 0 ELSE 1 END AS fresh FROM p WINDOW q AS (PARTITION BY doc_id ORDER BY k)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS grp FROM f)
+SELECT doc_id, CAST(min(a) AS INTEGER) AS s, CAST(max(a + length(value)) AS INTEGER) AS e, 'private_person' AS label FROM g WHERE person GROUP BY doc_id, grp""",
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from spanwright.sources.external import CORPORA
+
+        tokens = words(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "value"))).alias("w")).select("doc_id", C("w.value").alias("tokens"))
+        at = lambda k: ((k * k + C("doc_id")) % len(names)).cast("int")
+        number = F.transform("tokens", lambda _, k: at(k.cast("long")))
+        tags = number if numbered else F.transform(number, lambda i: F.get(F.array(*(F.lit(x) for x in names)), i))
+        table = tokens.select("doc_id", "tokens", tags.alias("ner_tags"), F.lit("de").alias("language"))
+        out = CORPORA[corpus].rows(table).select("doc_id", F.explode("spans").alias("x"))
+        return out.select("doc_id", C("x.start").alias("s"), C("x.end").alias("e"), C("x.label").alias("label"))
+
+
+_tag_query("s09_swiss_news", "swissner", _KINDS9, False)
+_tag_query("s09_newswire", "conll2003", _KINDS9, True)
+_tag_query("s09_wiki_neural", "wikineural", _KINDS9, True)
+_tag_query("s09_wiki_ann", "wikiann", _KINDS9[:7], True)
+
+
+@query("s11_training_rows", f"WITH d AS (SELECT doc_id, text, lang AS language, md5(lang || '#' || text) AS h FROM documents WHERE lang IN ('de', 'en', 'fr') AND doc_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY h, text, doc_id) AS n FROM d) SELECT doc_id, CASE language WHEN 'en' THEN 'en' ELSE language || '_ch' END AS language FROM r WHERE n <= 40")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive rows only, a quota of each language, in our codes."""
+    from spanwright.operators.balance import quota
+    from spanwright.sources.external import SWISS
+
+    mask = F.when(C("doc_id") % 2 == 0, F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("EMAIL").alias("label"))))
+    docs = load(spark, sf_dir, "documents").select("doc_id", C("text").alias("source_text"), mask.alias("privacy_mask"), C("lang").alias("language"))
+    rows = external.CORPORA["openpii"].rows(docs).where(C("language").isin(*external.CORPORA["openpii"].languages) & (F.size("spans") > 0))
+    order = [F.md5(F.concat("language", F.lit("#"), "text")), C("text"), C("doc_id")]
+    return quota(rows, ["language"], 40, order).select("doc_id", F.try_element_at(lit_map(SWISS), C("language")).alias("language"))
+
+
+@query("p02_external_as_labelled", f"SELECT w.doc_id, w.s, substr(d.text, w.s + 1, w.e - w.s) AS value, 'external' AS signal, CAST(1 AS DOUBLE) AS confidence FROM ({WORDS_SQL}) w JOIN documents d ON d.doc_id = w.doc_id WHERE i % 10 = 3")
+def p02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A foreign struct's spans as ours, without those of no label, as labelled ones."""
+    span = F.struct(C("s").alias("begin"), C("e").alias("finish"), F.when(C("i") % 10 == 3, "secret").when(C("i") % 10 == 4, "O").alias("entity"))
+    per = words(spark, sf_dir).where("i % 10 in (3, 4, 5)").groupBy("doc_id").agg(F.collect_list(span).alias("x")).join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    own = per.select("doc_id", F.explode(external.as_labelled(C("text"), external.spans_of(C("x"), "begin", "finish", "entity"))).alias("y"))
+    return own.select("doc_id", C("y.start").alias("s"), C("y.value").alias("value"), C("y.signals")[0].alias("signal"), C("y.confidence").alias("confidence"))
+
+
 @query("k07_result_rows", f"WITH q AS ({_REPORT}) SELECT level, name, '{{\"model_id\":\"stub\",\"metrics\":{{\"tp\":' || CAST(tp AS VARCHAR) || ',\"fn\":' || CAST(fn AS VARCHAR) || '}}}}' AS json FROM q")
 def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7 and K8: results as JSON."""

@@ -3,7 +3,6 @@
 import itertools
 import json
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,15 +294,57 @@ def test_remote_detector(spark):
 
 
 def test_external_corpora(spark, tmp_path):
-    spark.createDataFrame([(["Max", "Egli", "in", "Chur"], ["B-PER", "I-PER", "O", "B-LOC"], "de")], "tokens array<string>, ner_tags array<string>, language string").write.parquet(str(tmp_path / "ner"))
+    ner = [(["Max", "Egli", "in", "Chur"], ["B-PER", "I-PER", "O", "B-LOC"], "de"), (["Bern"], ["B-LOC"], "fr")]
+    spark.createDataFrame(ner, "tokens array<string>, ner_tags array<string>, language string").write.parquet(str(tmp_path / "ner"))
     row = external.load_corpus(spark, "swissner", str(tmp_path / "ner"), ["de"]).first()
-    assert row["text"] == "Max Egli in Chur" and [tuple(s) for s in row["spans"]] == [(0, 8, "private_person"), (12, 16, "private_address")]
-    spark.createDataFrame([("Max", '[{"start": 0, "end": 3, "label": "givenname"}]'), ("x", "[]")], "generated_text string, pii_spans string").write.parquet(str(tmp_path / "g"))
-    assert [r["text"] for r in external.load_corpus(spark, "gretel", str(tmp_path / "g"), positive_only=True).collect()] == ["Max"]
+    assert row["text"] == "Max Egli in Chur" and [tuple(s) for s in row["spans"]] == [(0, 8, "private_person")]  # places are outside
+    assert external.load_corpus(spark, "swissner", str(tmp_path / "ner"), positive_only=True).count() == 1
+    numbered = spark.createDataFrame([(["Max", "AG", "x"], [1, 3, 99], "de")], "tokens array<string>, ner_tags array<int>, language string")
+    assert [tuple(s) for s in external.CORPORA["wikineural"].rows(numbered).first()["spans"]] == [(0, 3, "private_person")]
+    assert external.CORPORA["conll2003"].rows(numbered).first()["language"] == "en"
+    rows = [("Max 1980", '[{"start": 0, "end": 3, "label": "first_name"}, {"start": 4, "end": 8, "label": "date_of_birth"}, {"start": 0, "end": 3, "label": "company"}]', "German"), ("x", "[]", "France"), ("y", "no json", "English"), ("", "[]", "English"), (None, None, "English")]
+    spark.createDataFrame(rows, "generated_text string, pii_spans string, language string").write.parquet(str(tmp_path / "g"))
+    got = {r["text"]: ([tuple(s) for s in r["spans"]], r["language"]) for r in external.load_corpus(spark, "gretel", str(tmp_path / "g")).collect()}
+    assert got == {"Max 1980": ([(0, 3, "private_person"), (4, 8, "private_date")], "de_ch"), "x": ([], "fr_ch")}
+    assert [r["text"] for r in external.load_corpus(spark, "gretel", str(tmp_path / "g"), positive_only=True).collect()] == ["Max 1980"]
     with pytest.raises(ValueError):
         external.load_corpus(spark, "nothing", str(tmp_path))
 
 
+def test_external_samples(spark):
+    kind = "source_text string, privacy_mask array<struct<label:string,start:int,end:int>>, language string, pos int"
+    rows = [(f"Max {i}", [("GIVENNAME", 0, 3)] if i % 3 else [("SEX", 0, 3)], ["de", "en", "es"][i % 3 if i < 30 else 0], i) for i in range(90)]
+    table = spark.createDataFrame(rows, kind)
+    scanned = external.evaluation_rows("openpii", table, 5, C("pos"))
+    assert sorted((r["language"], r["pos"]) for r in scanned.collect()) == [("de", p) for p in (0, 3, 6, 9, 12)] + [("en", p) for p in (1, 4, 7, 10, 13)]
+    mixed = external.training_rows("openpii", table, 4)
+    assert {(r["language"], r["n"]) for r in mixed.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()} == {("de_ch", 4), ("en", 4)}
+    assert mixed.where("size(spans) = 0 or not synthetic").isEmpty()
+    ner = spark.createDataFrame([(["A%d" % i], [1 if i % 4 == 0 else 5], "rm") for i in range(40)], "tokens array<string>, ner_tags array<int>, language string")
+    some = external.training_rows("wikiann", ner, 6)
+    assert 0 < some.count() <= 6 and some.where("size(spans) = 0").isEmpty() and some.first()["language"] == "rm"
+    whole = external.training_mix({"openpii": lambda: table, "wikiann": lambda: ner}, "commercial")
+    positive = sum(1 for r in rows if r[1][0][0] == "GIVENNAME" and r[2] != "es")
+    assert whole.select("id").distinct().count() == whole.count() == positive + 10
+    with pytest.raises(ValueError):
+        external.training_mix({}, "none")
+
+
+def test_labelled_projection(spark):
+    row = spark.range(1).select(F.lit("Max in Bern").alias("t"), F.array(F.struct(F.lit(0).alias("a"), F.lit(3).alias("b"), F.lit("x").alias("l")), F.struct(F.lit(4).alias("a"), F.lit(6).alias("b"), F.lit("O").alias("l")), F.struct(F.lit(4).alias("a"), F.lit(6).alias("b"), F.lit(None).cast("string").alias("l"))).alias("s"))
+    out = row.select(external.as_labelled(C("t"), external.spans_of(C("s"), "a", "b", "l")).alias("x")).first()["x"]
+    assert [(s["value"], s["signals"], s["confidence"]) for s in out] == [("Max", ["external"], 1.0)]
+
+
+def test_splits_of_large_strata_keep_their_shares(spark):
+    rows = [(f"d{d}#{i}", "de_ch", "fineweb", f"d{d}") for d in range(3000) for i in range(1 + d % 4)]
+    chunks = spark.createDataFrame(rows, "id string, language string, subset string, doc_id string")
+    splits = balance.assign_splits(chunks, most=200)
+    assert splits.count() == 3000 and splits.select("grp").distinct().count() == 3000
+    sizes = {r["split"]: r["count"] / len(rows) for r in balance.with_split(chunks, splits).groupBy("split").count().collect()}
+    assert abs(sizes["train"] - 0.8) < 0.02 and abs(sizes["val"] - 0.1) < 0.02
+
+
 def test_language_decision(spark):
     from spanwright.functions.language import decide, stop_word_score
 
@@ -325,5 +366,8 @@ def test_empty_tables(spark):
     out, table = session.apply_spans(texts)
     assert out.count() == 0 and table.count() == 0
     rows = spark.createDataFrame([], "row_id int, language string, gold array<struct<start:int,end:int,label:string>>, pred array<struct<start:int,end:int,label:string>>")
-    assert score.matrix(rows).count() == 0
-    assert pd.DataFrame().empty
+    assert score.matrix(rows).count() == 0 and score.report(rows).where("level <> 'overall'").count() == 0
+    chunks = spark.createDataFrame([], "id string, language string, subset string, doc_id string")
+    assert balance.assign_splits(chunks).count() == 0 and balance.cap_documents(chunks).count() == 0
+    cells = spark.createDataFrame([], "id string, pos int, n int, language string, subset string, label string, key string")
+    assert balance.admit_by_cells(cells).count() == 0 and balance.cap_values(cells).count() == 0
