@@ -6,7 +6,9 @@ are given per session and tag in the order in which keys are first seen, and the
 
 from __future__ import annotations
 
+import functools
 import re
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spanwright.functions import spans as S
-from spanwright.functions.text import PLACEHOLDER, fold, label_tag
+from spanwright.functions.text import PLACEHOLDER, WORD, fold, label_tag
 from spanwright.schema import SPAN
 
 C = F.col
@@ -72,16 +74,24 @@ def apply_spans(texts: DataFrame, normalizers: dict[str, Callable[[Column], Colu
     out = joined.withColumn("redacted", F.when(C("marks").isNull(), C("text")).otherwise(redacted)).drop("marks")
     if not recover:
         return out, table
-    # the map as it was once a text was done: of entries first seen up to it; grouped per session
-    entries = table.groupBy("session_id").agg(F.collect_list(F.struct(C("first_seen.at").alias("at"), F.concat(F.lit("<"), "tag", F.lit("_"), "idx", F.lit(">")).alias("mark"), "surface")).alias("entries"))
-    seen = out.join(entries, "session_id", "left")
-    usable = F.filter("entries", lambda e: (e["at"] <= C("seen")) & (e["surface"] != ""))
-    lean = F.transform(usable, lambda e: F.struct(e["mark"].alias("mark"), e["surface"].alias("surface")))
-    patched = recover_occurrences(C("text"), C("redacted"), C("spans"), F.when(F.size("spans") > 0, lean))
-    done = seen.withColumn("r", patched).withColumn("redacted", C("r.redacted")).withColumn("spans", C("r.spans")).drop("r", "entries")
+    # The map as it was once a text was done: of entries first seen up to it, those that can occur in it. A surface that occurs as whole words has its
+    # first run of word characters in the text as a whole run, so that texts and entries meet by run; no session's map comes together.
+    runs = rf"[{WORD}]+"
+    entries = table.select("session_id", C("first_seen.at").alias("at"), F.concat(F.lit("<"), "tag", F.lit("_"), "idx", F.lit(">")).alias("mark"), "surface", F.regexp_extract("surface", runs, 0).alias("run")).where("surface <> ''")
+    found_in = F.regexp_extract_all(F.concat_ws(" ", "text", "redacted"), F.lit(runs), 0)
+    asking = out.where(F.size("spans") > 0).select("session_id", "seen", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), found_in))).alias("run"))
+    usable = asking.join(entries, ["session_id", "run"]).where(C("at") <= C("seen")).groupBy("session_id", "seen").agg(F.collect_list(F.struct("mark", "surface")).alias("entries"))
+    met = out.join(usable, ["session_id", "seen"], "left")
+    patched = recover_occurrences(C("text"), C("redacted"), C("spans"), C("entries"))
+    done = met.withColumn("r", patched).withColumn("redacted", C("r.redacted")).withColumn("spans", C("r.spans")).drop("r", "entries")
     return done, table
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _whole(surface: str) -> re.Pattern:
+    return re.compile("(?<!\\w)%s(?!\\w)" % re.escape(surface))
+
+
 @F.pandas_udf(T.StructType([T.StructField("redacted", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))]))
 def recover_occurrences(text: pd.Series, redacted: pd.Series, spans: pd.Series, entries: pd.Series) -> pd.DataFrame:
     """Whole-word occurrences of known surfaces, replaced in the redacted text and added to the spans of the text."""
@@ -91,8 +101,10 @@ def recover_occurrences(text: pd.Series, redacted: pd.Series, spans: pd.Series,
         if known is not None and len(known) and kept:
             label_of = {t[a:b]: label for a, b, label in kept}
             more: list = []
-            for e in sorted(known, key=lambda e: -len(e["surface"])):
-                whole = re.compile("(?<!\\w)%s(?!\\w)" % re.escape(e["surface"]))
+            for e in sorted(known, key=lambda e: (-len(e["surface"]), e["mark"])):
+                if e["surface"] not in t and e["surface"] not in r:
+                    continue
+                whole = _whole(e["surface"])
                 r = whole.sub(lambda _, mark=e["mark"]: mark, r)
                 label = label_of.get(e["surface"])
                 if label is not None:
@@ -131,9 +143,17 @@ def from_json(stored: DataFrame) -> DataFrame:
     return parsed.select("session_id", C("p.tag").alias("tag"), C("p.index").alias("idx"), fold(C("surface")).alias("key"), "surface")
 
 
-def guard(df: DataFrame, text_columns: list[str], redacted: set[str], allow_raw: bool = False) -> DataFrame:
-    """df, unless a text column that isn't marked as redacted would leave; then a ValueError names it."""
+_warned: set[str] = set()
+
+
+def guard(df: DataFrame, text_columns: list[str], redacted: set[str], allow_raw: bool = False, strict: bool = True) -> DataFrame:
+    """df, unless a text column that isn't marked as redacted would leave; then a ValueError names it, or, where not strict, a warning does, once per column."""
     raw = [c for c in text_columns if c in df.columns and c not in redacted]
     if raw and not allow_raw:
-        raise ValueError(f"columns {raw} are not redacted; redact them or pass allow_raw=True")
+        said = f"columns {raw} are not redacted; redact them or pass allow_raw=True"
+        if strict:
+            raise ValueError(said)
+        if not _warned.issuperset(raw):
+            _warned.update(raw)
+            warnings.warn(said, stacklevel=2)
     return df
