@@ -6,26 +6,45 @@ column expressions over a hash; the pools are small and our own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanwright.functions.checks import VAT_WEIGHTS
-from spanwright.functions.spans import find_all, let
+from spanwright.functions.spans import by_start_end, find_all, invalid_reason, let, locate_in_order
+from spanwright.session import cut, spread
 
 C = F.col
 MARKER = r"\[\[PII:[a-z_]+(?:/[a-z_0-9]+)?\]\]"
 SPANS = "array<struct<start:int,end:int,label:string>>"
-VOLUMES = {"emails": 12_000, "docs": 250, "multilang_docs": 1_400, "short_form": 80, "forms": 200, "common_word": 60, "adversarial": 80, "rm_secrets": 40}
-#: language, given names, surnames, streets, towns: pools by language.
+NOISE = 15
+#: E-mails of each language, and renders of each template of the other layers.
+EMAILS = {"de_ch": 12_000, "en": 2_000, "fr_ch": 8_000, "it_ch": 6_000, "rm": 3_000}
+VOLUMES = {"adversarial": 80, "common_word": 60, "docs": 250, "forms": 200, "multilang_docs": 1_400, "rm_secrets": 40, "short_form": 80}
+#: Given names of men and women, surnames, streets or what French streets are called after, towns: pools by language.
 POOLS = {
-    "de_ch": (["Anna", "Beat", "Reto", "Vreni", "Urs"], ["Keller", "Frei", "Hofer", "Egli", "Baumann"], ["Bahnhofstrasse", "Dorfweg", "Lindenallee"], ["8001 Zürich", "3011 Bern", "6003 Luzern"]),
-    "fr_ch": (["Chloé", "Jean", "Luc", "Aline"], ["Favre", "Rochat", "Blanc"], ["rue du Lac", "chemin des Vignes"], ["1003 Lausanne", "1204 Genève"]),
-    "it_ch": (["Giulia", "Marco", "Sofia"], ["Bernasconi", "Rossi"], ["via Stazione", "via San Gottardo"], ["6900 Lugano", "6500 Bellinzona"]),
-    "rm": (["Ladina", "Gian", "Flurin"], ["Caduff", "Camenisch"], ["via Principala", "via da Scola"], ["7130 Glion", "7500 San Murezzan"]),
-    "en": (["Alice", "Tom", "Grace"], ["Baker", "Hill", "Woods"], ["Station Road", "Mill Lane"], ["4051 Basel", "6300 Zug"]),
+    "de_ch": (["Beat", "Reto", "Urs", "Jürg"], ["Anna", "Vreni", "Regula", "Käthi"], ["Keller", "Frei", "Hofer", "Egli", "Baumann", "Zürcher"], ["Bahnhofstrasse", "Dorfweg", "Lindenallee", "Mühlegasse"], ["8001 Zürich", "3011 Bern", "6003 Luzern"]),
+    "fr_ch": (["Jean", "Luc", "Noé"], ["Chloé", "Aline", "Océane"], ["Favre", "Rochat", "Blanc"], ["Lausanne", "Yverdon", "Orbe", "Morges", "Aigle"], ["1003 Lausanne", "1204 Genève", "2000 Neuchâtel"]),
+    "it_ch": (["Marco", "Elio"], ["Giulia", "Sofia"], ["Bernasconi", "Rossi", "Galli"], ["via Stazione", "via San Gottardo", "viale Franscini"], ["6900 Lugano", "6500 Bellinzona"]),
+    "rm": (["Gian", "Flurin"], ["Ladina", "Seraina"], ["Caduff", "Camenisch"], ["via Principala", "via da Scola"], ["7130 Glion", "7500 San Murezzan"]),
+    "en": (["Tom", "Harry"], ["Alice", "Grace"], ["Baker", "Hill", "Woods"], ["Station Road", "Mill Lane"], ["4051 Basel", "6300 Zug"]),
 }
+#: Surnames that are words; for the other languages the common ones do.
+WORD_NAMES = {"de_ch": ["Frei", "Koch", "Vogel", "Lang", "Winter"], "fr_ch": ["Blanc", "Petit", "Roy", "Berger"], "it_ch": ["Forte", "Bianchi", "Conte", "Sole"]}
+#: Titles of men and of women, short and in full.
+TITLES = {
+    "de_ch": ((["Hr.", "Ing.", "Dr."], ["Herr", "Professor"]), (["Fr.", "Dr. med.", "Dr."], ["Frau", "Professorin"])),
+    "fr_ch": ((["M.", "Me"], ["Monsieur", "Docteur"]), (["Mme", "Me"], ["Madame", "Docteure"])),
+    "it_ch": ((["Sig.", "Avv."], ["Signor", "Dottor"]), (["Sig.ra", "Avv."], ["Signora", "Dottoressa"])),
+    "rm": ((["Sgnr.", "Dr."], ["Signur"]), (["Sgnra.", "Dr."], ["Signura"])),
+    "en": ((["Mr.", "Hon."], ["Mr", "Doctor"]), (["Ms.", "Mrs."], ["Ms", "Doctor"])),
+}
+STYLES = ["first_last", "last_first", "last_first_upper", "first_initial", "title_last", "title_first_last", "title_initial_last", "last_only", "first_only"]
+CANTONS = ["AG", "BE", "BS", "GE", "GR", "LU", "SG", "TI", "VD", "VS", "ZH"]
 
 
 def seed_of(seed: int, *parts: Column) -> Column:
@@ -42,6 +61,27 @@ def pick(h: Column, values: list[str]) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), F.pmod(h, F.lit(len(values))).cast("int"))
 
 
+def by_language(language: Column, make: Callable[[str], Column], default: str = "en") -> Column:
+    """make(code) of the row's language; that of the default for others."""
+    out = reduce(lambda w, code: w.when(language == code, make(code)), [c for c in POOLS if c != default], F.when(F.lit(False), make(default)))
+    return out.otherwise(make(default))
+
+
+def drawn(h: Column, n: int, alphabet: str) -> Column:
+    """n characters of an alphabet of 16, 32 or 64, from hashes of h."""
+    per = {16: 15, 32: 12, 64: 10}[len(alphabet)]
+    bits = len(alphabet).bit_length() - 1
+    letters = [F.substring(F.lit(alphabet), (F.shiftright(sub(h, 50 + i // per), (i % per) * bits).bitwiseAND(len(alphabet) - 1) + 1).cast("int"), F.lit(1)) for i in range(n)]
+    return F.concat(*letters)
+
+
+_WORD64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789AZ"
+_DASH64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_UPPER32 = "ABCDEFGHIJKLMNOPQRSTUVWX23456789"
+_HEX = "0123456789abcdef"
+
+
 def pad(number: Column, n: int) -> Column:
     return F.lpad(number.cast("string"), n, "0")
 
@@ -136,66 +176,156 @@ def phone(h: Column) -> Column:
     )
 
 
-def name(h: Column, language: Column) -> Column:
-    out = F.when(F.lit(False), "")
-    for code, (given, family, _, _) in POOLS.items():
-        g, f = pick(sub(h, 1), given), pick(sub(h, 2), family)
-        out = out.when(language == code, F.when(F.pmod(h, F.lit(5)) == 0, f).when(F.pmod(h, F.lit(5)) == 1, g).otherwise(F.concat_ws(" ", g, f)))
-    return out.otherwise(F.concat_ws(" ", pick(sub(h, 1), POOLS["en"][0]), pick(sub(h, 2), POOLS["en"][1])))
+def title(h: Column, language: Column, female: Column, full: Column) -> Column:
+    """An honorific by gender, short or in full."""
+    def of(code: str) -> Column:
+        (m_short, m_full), (f_short, f_full) = TITLES[code]
+        return F.when(female, F.when(full, pick(h, f_full)).otherwise(pick(h, f_short))).otherwise(F.when(full, pick(h, m_full)).otherwise(pick(h, m_short)))
 
+    return by_language(language, of)
 
-def address(h: Column, language: Column) -> Column:
-    out = F.when(F.lit(False), "")
-    for code, (_, _, streets, towns) in POOLS.items():
-        house = F.concat((F.pmod(sub(h, 3), F.lit(120)) + 1).cast("string"), F.when(F.pmod(sub(h, 4), F.lit(12)) == 0, "a").otherwise(""))
-        street = pick(sub(h, 1), streets)
-        line = F.concat_ws(", ", house, street) if code == "fr_ch" else F.concat_ws(" ", street, house)
-        out = out.when(language == code, F.when(F.pmod(h, F.lit(20)) == 0, F.concat(F.lit("Postfach "), house)).otherwise(F.concat_ws(", ", line, pick(sub(h, 2), towns))))
-    return out.otherwise(F.lit("Station Road 1"))
 
+def given_name(h: Column, language: Column, female: Column) -> Column:
+    return by_language(language, lambda code: F.when(female, pick(sub(h, 1), POOLS[code][1])).otherwise(pick(sub(h, 1), POOLS[code][0])))
 
-def email(h: Column, language: Column) -> Column:
-    plain = F.translate(F.lower(F.replace(name(h, language), F.lit(" "), F.lit("."))), "äöüéèà", "aoueea")
-    return F.concat(plain, F.when(F.pmod(h, F.lit(3)) == 0, number(sub(h, 9), 2)).otherwise(""), F.lit("@"), pick(sub(h, 8), ["post.example.ch", "firma.example.ch", "mail.example.org"]))
 
+def surname(h: Column, language: Column, common_word: Column | None = None) -> Column:
+    """A surname; where common_word, one that is a word of the language, if there are such."""
+    plain = lambda code: pick(sub(h, 2), POOLS[code][2])
+    return by_language(language, lambda code: plain(code) if common_word is None or code not in WORD_NAMES else F.when(common_word, pick(sub(h, 2), WORD_NAMES[code])).otherwise(plain(code)))
 
-def url(h: Column) -> Column:
-    return F.concat(pick(h, ["https://", "http://", "https://www."]), pick(sub(h, 1), ["amt", "shop", "verein"]), F.lit(".example.ch"), pick(sub(h, 2), ["", "/info", "/p/42"]))
+
+def name(h: Column, language: Column, style: Column | None = None, female: Column | None = None) -> Column:
+    """A name in one of nine styles, titles by gender; `common_word` is a surname that is a word. Style and gender are drawn where they are null."""
+    female = F.pmod(sub(h, 5), F.lit(2)) == 0 if female is None else female
+    style = F.lit(None).cast("string") if style is None else style
+    asked = F.when(style.isin(*STYLES), style).otherwise(pick(sub(h, 6), STYLES))
+    first, last = given_name(h, language, female), surname(h, language, style == "common_word")
+    initial = F.concat(F.substring(first, 1, 1), F.lit("."))
+    honorific = title(sub(h, 7), language, female, F.pmod(sub(h, 8), F.lit(2)) == 0)
+    short = title(sub(h, 7), language, female, F.lit(False))
+    return (
+        F.when(style == "common_word", last).when(asked == "last_first", F.concat_ws(", ", last, first)).when(asked == "last_first_upper", F.concat_ws(", ", F.upper(last), first)).when(asked == "first_initial", F.concat_ws(" ", initial, last))
+        .when(asked == "title_last", F.concat_ws(" ", honorific, last)).when(asked == "title_first_last", F.concat_ws(" ", honorific, first, last)).when(asked == "title_initial_last", F.concat_ws(" ", short, initial, last))
+        .when(asked == "last_only", last).when(asked == "first_only", first).otherwise(F.concat_ws(" ", first, last))
+    )
 
 
-def secret(h: Column) -> Column:
-    code = F.md5(h.cast("string"))
-    kinds = [F.concat(F.lit("ghp_"), code, F.substring(code, 1, 4)), F.concat(F.lit("AKIA"), F.upper(F.substring(code, 1, 16))), F.concat(F.lit("sk-proj-"), F.substring(code, 1, 24)), F.concat(F.lit("stripe_"), F.substring(code, 1, 20)), F.base64(F.encode(F.substring(code, 1, 12), "UTF-8"))]
-    return F.get(F.array(*kinds), F.pmod(sub(h, 1), F.lit(len(kinds))).cast("int"))
+def address(h: Column, language: Column, fmt: Column | None = None) -> Column:
+    """Whole, with its canton, the street alone, or the town first: 60 : 15 : 15 : 10. French streets are called after places, with elision; 8 in a hundred
+    house numbers have a letter, 5 in a hundred addresses are a box."""
+    r = F.pmod(sub(h, 9), F.lit(100))
+    fmt = F.lit(None).cast("string") if fmt is None else fmt
+    asked = F.coalesce(fmt, F.when(r < 60, "full").when(r < 75, "with_canton").when(r < 90, "street_only").otherwise("city_first"))
+    house = F.concat((F.pmod(sub(h, 3), F.lit(120)) + 1).cast("string"), F.when(F.pmod(sub(h, 4), F.lit(100)) < 8, pick(sub(h, 10), ["a", "b", "c"])).otherwise(""))
+    box = {"de_ch": "Postfach", "fr_ch": "Case postale", "it_ch": "Casella postale", "rm": "Chascha postala", "en": "P.O. Box"}
 
+    def street(code: str) -> Column:
+        own = pick(sub(h, 1), POOLS[code][3])
+        line = F.concat_ws(" ", own, house)
+        if code == "fr_ch":
+            line = F.concat_ws(", ", F.concat(pick(sub(h, 11), ["rue", "avenue", "chemin"]), F.when(own.rlike("^[AEIOUYÉÈH]"), " d'").otherwise(" de "), own), house)
+        return F.when(F.pmod(h, F.lit(100)) < 5, F.concat_ws(" ", F.lit(box[code]), house)).otherwise(line)
 
-def value(label: Column, fmt: Column, h: Column, language: Column) -> Column:
-    """The value of a slot; formats name an account's kind."""
+    line, town = by_language(language, street), by_language(language, lambda code: pick(sub(h, 2), POOLS[code][4]))
+    return (
+        F.when(asked == "street_only", line).when(asked == "city_first", F.concat_ws(", ", town, line)).when(asked == "with_canton", F.concat(line, F.lit(", "), town, F.lit(" "), pick(sub(h, 12), CANTONS)))
+        .otherwise(F.concat_ws(", ", line, town))
+    )
+
+
+def _ascii(value: Column) -> Column:
+    spelled = reduce(lambda v, x: F.replace(v, F.lit(x[0]), F.lit(x[1])), {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}.items(), F.lower(value))
+    return F.replace(spelled, F.lit(" "), F.lit(""))
+
+
+def email(h: Column, language: Column, female: Column | None = None) -> Column:
+    """Nine patterns of local parts; umlauts are spelled out."""
+    female = F.pmod(sub(h, 5), F.lit(2)) == 0 if female is None else female
+    first, last = _ascii(given_name(h, language, female)), _ascii(surname(h, language))
+    a, z = F.substring(first, 1, 1), F.substring(last, 1, 1)
+    tag, year = pick(sub(h, 9), ["info", "kontakt", "billing", "service"]), (F.pmod(sub(h, 10), F.lit(30)) + 70).cast("string")
+    dotted = F.concat_ws(".", first, last)
+    local = [dotted, F.concat_ws("_", first, last), F.concat_ws("-", first, last), F.concat_ws(".", a, last), F.concat(first, z), F.concat_ws("+", dotted, tag), F.concat_ws(".", last, first), first, F.concat(dotted, year)]
+    return F.concat(F.get(F.array(*local), F.pmod(sub(h, 11), F.lit(len(local))).cast("int")), F.lit("@"), pick(sub(h, 8), ["post.example.ch", "firma.example.ch", "mail.example.org"]))
+
+
+def url(h: Column) -> Column:
+    """A bare domain, its root, with a path, with path and query: 20 : 25 : 35 : 20."""
+    domain, path, asked = pick(sub(h, 1), ["amt.example.ch", "shop.example.ch", "verein.example.org"]), pick(sub(h, 2), ["", "/", "/info", "/login", "/p/42"]), pick(sub(h, 3), ["", "?lang=de", "?id=42"])
+    r = F.pmod(h, F.lit(100))
+    return F.when(r < 20, domain).when(r < 45, F.concat(F.lit("https://"), domain)).when(r < 80, F.concat(F.lit("https://"), domain, path)).otherwise(F.concat(F.lit("https://"), domain, path, asked))
+
+
+def _secrets(h: Column) -> dict[str, Column]:
+    long_number = lambda n: F.concat((F.pmod(sub(h, 20 + n), F.lit(9)) + 1).cast("string"), number(sub(h, 30 + n), 11))
+    chat = lambda mark: F.concat(F.lit(mark), long_number(1), F.lit("-"), long_number(2), F.lit("-"), drawn(h, 24, _WORD64))
+    return {
+        "project_key": F.concat(F.lit("sk-proj-"), drawn(h, 43, _DASH64)), "classic_key": F.concat(F.lit("sk-"), drawn(h, 48, _WORD64)), "long_token": F.concat(F.lit("github_pat_"), drawn(h, 82, _WORD64)),
+        "classic_token": F.concat(F.lit("ghp_"), drawn(h, 36, _WORD64)), "chat_bot": chat("xoxb-"), "chat_user": chat("xoxp-"), "access_id": F.concat(F.lit("AKIA"), drawn(h, 16, _UPPER32)), "map_key": F.concat(F.lit("AIza"), drawn(h, 35, _DASH64)),
+        "live_payment": F.concat(F.lit("sk_live_"), drawn(h, 48, _WORD64)), "test_payment": F.concat(F.lit("sk_test_"), drawn(h, 48, _WORD64)), "jwt": F.concat(drawn(h, 32, _DASH64), F.lit("."), drawn(sub(h, 40), 64, _DASH64), F.lit("."), drawn(sub(h, 41), 43, _DASH64)),
+        "hex64": drawn(h, 64, _HEX), "base64_token": drawn(h, 40, _BASE64),
+    }
+
+
+#: What templates' secrets are: five kinds at random; others by name.
+_USUAL = ["project_key", "classic_token", "chat_bot", "access_id", "jwt"]
+SECRET_KINDS = ["project_key", "classic_key", "long_token", "classic_token", "chat_bot", "chat_user", "access_id", "map_key", "live_payment", "test_payment", "jwt", "hex64", "base64_token"]
+
+
+def secret(h: Column, kind: Column | None = None, among: list[str] | None = None) -> Column:
+    """A key or token of a named kind (also password, payment_live, payment_test, vendor_key), else of one drawn from `among`."""
+    kinds = _secrets(h)
+    among = among or _USUAL
+    chosen = pick(sub(h, 13), among)
+    if kind is not None:
+        chosen = F.coalesce(F.when(kind.isin(*kinds, "password", "payment_live", "payment_test", "vendor_key"), kind), chosen)
+        kinds |= {
+            "password": drawn(h, 24, _BASE64), "payment_live": F.concat(F.lit("sk_live_"), drawn(h, 24, _WORD64)), "payment_test": F.concat(F.lit("sk_test_"), drawn(h, 24, _WORD64)), "vendor_key": F.concat(F.lit("sk-ven-api03-"), drawn(h, 80, _DASH64)),
+        }
+    else:
+        kinds = {k: v for k, v in kinds.items() if k in among}
+    names = list(kinds)
+    return reduce(lambda w, k: w.when(chosen == k, kinds[k]), names[1:], F.when(chosen == names[0], kinds[names[0]]))
+
+
+def value(label: Column, fmt: Column, h: Column, language: Column, female: Column | None = None) -> Column:
+    """The value of a slot; formats name an account's kind, a name's style, an address' form, a secret's kind."""
     account = F.when(fmt == "ahv", ahv(h)).when(fmt == "vat", vat(h)).when(fmt == "card", card(h)).otherwise(iban(h))
     return (
-        F.when(label == "private_person", name(h, language)).when(label == "private_email", email(h, language)).when(label == "private_phone", phone(h)).when(label == "private_date", date(h, language))
-        .when(label == "private_address", address(h, language)).when(label == "private_url", url(h)).when(label == "account_number", account).when(label == "secret", secret(h))
+        F.when(label == "private_person", name(h, language, fmt, female)).when(label == "private_email", email(h, language, female)).when(label == "private_phone", phone(h)).when(label == "private_date", date(h, language))
+        .when(label == "private_address", address(h, language, fmt)).when(label == "private_url", url(h)).when(label == "account_number", account).when(label == "secret", secret(h, fmt))
     )
 
 
 def fill(text: Column, values: Callable[[Column, Column, Column], Column]) -> Column:
     """struct(text, spans): markers replaced by values(label, format, slot), each value a span."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n"), F.array().cast(SPANS).alias("spans"))
+    return let(slots_of(text), lambda slots: join_slots(F.transform(slots, lambda s: F.struct(s["gap"].alias("gap"), F.when(s["label"].isNotNull(), values(s["label"], s["fmt"], s["n"])).alias("value"), s["label"].alias("label")))))
+
+
+def slots_of(text: Column) -> Column:
+    """The text as array of struct(n, gap, label, fmt): each marker with the text before it, and last the text after them, without a label."""
+    def parts(hits: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(hits, i - 1)["end"], F.lit(0))
+        inner = lambda h: F.regexp_extract(h["text"], r"^\[\[PII:(.*)\]\]$", 1)
+        slot = lambda h, i: F.struct(i.alias("n"), F.substring(text, before(i) + 1, h["start"] - before(i)).alias("gap"), F.substring_index(inner(h), "/", 1).alias("label"), F.when(inner(h).contains("/"), F.substring_index(inner(h), "/", -1)).alias("fmt"))
+        last = F.struct(F.size(hits).alias("n"), F.substring(text, before(F.size(hits)) + 1, F.length(text)).alias("gap"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("fmt"))
+        return F.concat(F.transform(hits, slot), F.array(last))
+
+    return let(find_all(text, MARKER), parts)
 
-    def step(acc: Column, hit: Column) -> Column:
-        inner = F.regexp_extract(hit["text"], r"^\[\[PII:(.*)\]\]$", 1)
-        label, fmt = F.substring_index(inner, "/", 1), F.when(inner.contains("/"), F.substring_index(inner, "/", -1))
-        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, hit["start"] - acc["at"]))
-        return let(
-            values(label, fmt, acc["n"]),
-            lambda v: F.struct(
-                hit["end"].cast("int").alias("at"), F.concat(before, v).alias("out"), (acc["n"] + 1).alias("n"),
-                F.concat(acc["spans"], F.array(F.struct(F.length(before).alias("start"), (F.length(before) + F.length(v)).alias("end"), label.alias("label")))).alias("spans"),
-            ),
-        )
 
-    done = lambda hits: F.aggregate(hits, begin, step, lambda acc: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))).alias("text"), acc["spans"].alias("spans")))
-    return let(find_all(text, MARKER), done)
+def join_slots(slots: Column) -> Column:
+    """struct(text, spans) of slots (gap, value, label) in order."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = acc["at"] + F.length(s["gap"])
+        end = start + F.coalesce(F.length(s["value"]), F.lit(0))
+        return F.struct(end.alias("at"), F.when(s["label"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), s["label"].alias("label"))))).alias("spans"))
+
+    text = F.array_join(F.transform(slots, lambda s: F.concat(s["gap"], F.coalesce(s["value"], F.lit("")))), "")
+    return F.struct(text.alias("text"), F.aggregate(slots, begin, step, lambda acc: acc["spans"]).alias("spans"))
 
 
 def once(made: Column) -> Column:
@@ -203,10 +333,21 @@ def once(made: Column) -> Column:
     return F.explode(F.array(made))
 
 
-def render(templates: DataFrame, renders: int, seed: int) -> DataFrame:
-    """template_id, language, render, text, spans: each template `renders` times. templates: template_id, language, text."""
-    rows = templates.withColumn("render", F.explode(F.sequence(F.lit(0), F.lit(renders - 1))))
-    made = rows.withColumn("f", once(fill(C("text"), lambda label, fmt, n: value(label, fmt, seed_of(seed, C("template_id"), C("render"), n), C("language")))))
+def render(templates: DataFrame, renders: int | Column, seed: int) -> DataFrame:
+    """template_id, language, render, text, spans: each template `renders` times. templates: template_id (unique), language, text.
+
+    A template's markers are found once. Each slot of each render is a row, whose value compiled code makes; one shuffle brings a
+    render's slots together. The names and titles of a render are of one gender.
+    """
+    count = F.lit(renders) if isinstance(renders, int) else renders
+    parsed = spread(templates).select("template_id", "language", count.alias("renders"), once(slots_of(C("text"))).alias("slots"))
+    rows = parsed.where("renders > 0").select("template_id", "language", "slots", F.explode(F.sequence(F.lit(0), (C("renders") - 1).cast("int"))).alias("render"))
+    slots = rows.select("template_id", "language", "render", F.explode("slots").alias("s")).select("template_id", "language", "render", "s.*")
+    h = seed_of(seed, C("template_id"), C("render"), C("n"))
+    female = F.pmod(seed_of(seed, C("template_id"), C("render"), F.lit("gender")), F.lit(2)) == 0
+    valued = slots.withColumns({"h": h, "female": female}).withColumn("value", F.when(C("label").isNotNull(), value(C("label"), C("fmt"), C("h"), C("language"), C("female"))))
+    whole = valued.groupBy("template_id", "language", "render").agg(F.array_sort(F.collect_list(F.struct("n", "gap", "value", "label"))).alias("slots"))
+    made = whole.select("template_id", "language", "render", once(join_slots(C("slots"))).alias("f"))
     return made.select("template_id", "language", "render", C("f.text").alias("text"), C("f.spans").alias("spans"))
 
 
@@ -222,34 +363,168 @@ def compose(parts: Column, glue: str = "\n\n") -> Column:
     return F.aggregate(parts, begin, step)
 
 
-def noise(text: Column, spans: Column, h: Column, share: int = 15) -> Column:
-    """struct(text, spans, kind): in `share` of a hundred texts one kind of noise outside the spans: no-break blanks, capitals, missing blanks,
-    HTML entities, stray punctuation, swapped look-alikes, or marks around a span. The spans' surfaces never change."""
-    kinds = ["nbsp", "caps", "no_space", "html_entity", "stray_punct", "ocr_swap", "markdown"]
-    kind = F.when(F.pmod(h, F.lit(100)) < share, pick(sub(h, 1), kinds)).otherwise("none")
-
-    def apply(k: Column) -> Column:
-        def changed(gap: Column, n: Column) -> Column:
-            """A gap between spans, by kind."""
-            letter = lambda pattern, to: F.regexp_replace(gap, pattern, to)
-            return (
-                F.when(k == "nbsp", letter(" (?=[^ ]{1,4} )", " ")).when(k == "caps", letter(r"(?<=\p{L}{3})e(?=\p{L})", "E")).when(k == "no_space", letter(r"(?<=[,.]) ", ""))
-                .when(k == "html_entity", letter("&", "&amp;")).when(k == "stray_punct", letter(r"\. ", ".. ")).when(k == "ocr_swap", letter(r"(?<=\p{Ll})l(?=\p{Ll})", "1")).otherwise(gap)
-            )
-
-        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast(SPANS).alias("spans"), F.lit(0).alias("n"))
-
-        def step(acc: Column, s: Column) -> Column:
-            gap = changed(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), acc["n"])
-            mark = F.when((k == "markdown") & (acc["n"] == 0), "**").otherwise("")
-            return let(
-                F.concat(acc["out"], gap, mark),
-                lambda before: F.struct(
-                    s["end"].cast("int").alias("at"), F.concat(before, F.substring(text, s["start"] + 1, s["end"] - s["start"]), mark).alias("out"),
-                    F.concat(acc["spans"], F.array(F.struct(F.length(before).alias("start"), (F.length(before) + s["end"] - s["start"]).cast("int").alias("end"), s["label"].alias("label")))).alias("spans"), (acc["n"] + 1).alias("n"),
-                ),
-            )
-
-        return F.aggregate(spans, begin, step, lambda acc: F.struct(F.concat(acc["out"], changed(F.substring(text, acc["at"] + 1, F.length(text)), acc["n"])).alias("text"), acc["spans"].alias("spans"), k.alias("kind")))
-
-    return let(kind, apply)
+_ENTITIES = {"ä": "auml", "ö": "ouml", "ü": "uuml", "Ä": "Auml", "Ö": "Ouml", "Ü": "Uuml", "ß": "szlig", "é": "eacute", "è": "egrave", "à": "agrave", "ç": "ccedil"}
+_LOOKALIKES = {"B": "8", "G": "6", "I": "l", "S": "5", "Z": "2", "a": "@", "e": "c", "l": "1", "o": "0"}
+NOISE_KINDS = ["broken_caps", "html_entity", "markdown", "nbsp", "no_space", "ocr_swap", "stray_punct"]
+
+
+def noise(text: Column, spans: Column, h: Column, share: int = NOISE) -> Column:
+    """struct(text, spans, kind): in `share` of a hundred texts one kind of noise. Of what lies outside the spans: two in five blanks become no-break
+    blanks; one letter in twenty, one at least, changes its case; one blank goes; one umlaut or accent becomes an entity; a sign comes before one blank; one
+    letter becomes a look-alike; or marks go around one span. The spans' surfaces never change.
+
+    Each kind is a list of edits (place, characters that go, what comes); spans move by the edits before them.
+    """
+    kind = F.when(F.pmod(h, F.lit(100)) < share, pick(sub(h, 1), NOISE_KINDS)).otherwise("none")
+    edit = lambda at, gone, put: F.struct(at.cast("int").alias("at"), F.lit(gone).alias("gone"), put.alias("put"))
+    none = F.array().cast("array<struct<at:int,gone:int,put:string>>")
+    char = lambda p: F.substring(text, p + 1, F.lit(1))
+    inside = lambda p: F.exists(spans, lambda s: (s["start"] <= p) & (p < s["end"]))
+    places = lambda test: F.filter(F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>")), lambda p: test(p) & ~inside(p))
+    one = lambda found, make: F.when(F.size(found) > 0, let(F.get(found, F.pmod(sub(h, 2), F.greatest(F.size(found), F.lit(1))).cast("int")), lambda p: F.array(make(p)))).otherwise(none)
+    mapped = lambda table, p: reduce(lambda w, x: w.when(char(p) == x[0], x[1]), list(table.items())[1:], F.when(char(p) == next(iter(table)), next(iter(table.values()))))
+    drawn_at = lambda p: F.pmod(F.xxhash64(h, p), F.lit(1 << 40))
+
+    def caps(found: Column) -> Column:
+        n = F.greatest(F.lit(1), F.floor(F.size(found) / 20)).cast("int")
+        first = F.slice(F.array_sort(F.transform(found, lambda p: F.struct(drawn_at(p).alias("d"), p.alias("p")))), F.lit(1), n)
+        flip = lambda p: F.when(F.lower(char(p)) == char(p), F.upper(char(p))).otherwise(F.lower(char(p)))
+        return F.array_sort(F.transform(first, lambda x: edit(x["p"], 1, F.substring(flip(x["p"]), 1, 1))))
+
+    blank = lambda p: char(p) == " "
+    wrap = pick(sub(h, 3), ["**", "*", "_"])
+    target = F.get(spans, F.pmod(sub(h, 2), F.greatest(F.size(spans), F.lit(1))).cast("int"))
+    entities = {k: f"&{v};" for k, v in _ENTITIES.items()}
+
+    def edits(k: Column) -> Column:
+        return (
+            F.when(k == "nbsp", F.transform(places(lambda p: blank(p) & (F.pmod(drawn_at(p), F.lit(100)) < 40)), lambda p: edit(p, 1, F.lit("\u00a0"))))
+            .when(k == "broken_caps", let(places(lambda p: char(p).rlike(r"\p{L}")), caps))
+            .when(k == "no_space", let(places(lambda p: blank(p) & ~inside(p - 1) & ~inside(p + 1)), lambda f: one(f, lambda p: edit(p, 1, F.lit("")))))
+            .when(k == "html_entity", let(places(lambda p: char(p).isin(*entities)), lambda f: one(f, lambda p: edit(p, 1, mapped(entities, p)))))
+            .when(k == "stray_punct", let(places(lambda p: blank(p) & ~inside(p - 1)), lambda f: one(f, lambda p: edit(p, 0, pick(sub(h, 3), [",", ";", "."])))))
+            .when(k == "ocr_swap", let(places(lambda p: char(p).isin(*_LOOKALIKES)), lambda f: one(f, lambda p: edit(p, 1, mapped(_LOOKALIKES, p)))))
+            .when((k == "markdown") & (F.size(spans) > 0), F.array(edit(target["start"], 0, wrap), edit(target["end"], 0, wrap))).otherwise(none)
+        )
+
+    def applied(found: Column) -> Column:
+        step = lambda acc, e: F.struct((e["at"] + e["gone"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["at"] - acc["at"]), e["put"]).alias("out"))
+        new = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+        def moved(s: Column) -> Column:
+            before = F.filter(found, lambda e: (e["at"] < s["start"]) | ((e["at"] == s["start"]) & (e["gone"] == 0)))
+            return let(F.aggregate(before, F.lit(0), lambda n, e: n + F.length(e["put"]) - e["gone"]), lambda d: F.struct((s["start"] + d).cast("int").alias("start"), (s["end"] + d).cast("int").alias("end"), s["label"].alias("label")))
+
+        return F.struct(new.alias("text"), F.transform(spans, moved).alias("spans"))
+
+    whole = lambda k: let(let(edits(k), applied), lambda x: F.struct(x["text"].alias("text"), x["spans"].alias("spans"), k.alias("kind")))
+    same = F.struct(text.alias("text"), F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"))).alias("spans"), F.lit("none").alias("kind"))
+    return let(kind, lambda k: F.when(k == "none", same).otherwise(whole(k)))
+
+
+def with_noise(rows: DataFrame, seed: int, share: int = NOISE) -> DataFrame:
+    """Rendered rows with noise in a share of them; `noise` names its kind."""
+    made = rows.withColumn("__x", once(noise(C("text"), C("spans"), seed_of(seed, F.lit("noise"), C("template_id"), C("render")), share)))
+    return made.withColumns({"text": C("__x.text"), "spans": C("__x.spans"), "noise": C("__x.kind")}).drop("__x")
+
+
+# -- layers
+
+
+def compose_emails(fragments: DataFrame, emails: DataFrame, seed: int) -> DataFrame:
+    """template_id, language, text: e-mail templates of a greeting, one body or in a fifth of them two, and a signature, a blank line between.
+
+    fragments: fragment_id, language, part (greeting, body, signature), text; emails: language, n. A template set is small beside what is made of
+    it; its texts meet the e-mails by language and number.
+    """
+    order = F.row_number().over(Window.partitionBy("language", "part").orderBy("fragment_id")) - 1
+    numbered = fragments.withColumn("k", order.cast("long"))
+    sizes = numbered.groupBy("language").pivot("part", ["greeting", "body", "signature"]).agg(F.count(F.lit(1))).where("greeting > 0 and body > 0 and signature > 0")
+    asked = emails.where("n > 0").select("language", F.explode(F.sequence(F.lit(0), (C("n") - 1).cast("int"))).alias("nth")).join(sizes, "language")
+    h = seed_of(seed, F.lit("email"), C("language"), C("nth"))
+    drawn_rows = asked.withColumn("h", h).select(
+        "language", "nth", F.pmod(sub(C("h"), 1), C("greeting")).alias("greeting_k"), F.pmod(sub(C("h"), 2), C("body")).alias("body_k"), F.pmod(sub(C("h"), 3), C("signature")).alias("signature_k"),
+        F.when((F.pmod(sub(C("h"), 4), F.lit(100)) < 20) & (C("body") > 1), F.pmod(F.pmod(sub(C("h"), 2), C("body")) + 1 + F.pmod(sub(C("h"), 5), F.greatest(C("body") - 1, F.lit(1))), C("body"))).alias("second_k"),
+    )
+    out = drawn_rows
+    for part, key, how in (("greeting", "greeting_k", "inner"), ("body", "body_k", "inner"), ("body", "second_k", "left"), ("signature", "signature_k", "inner")):
+        own = numbered.where(C("part") == part).select(C("language").alias("__l"), C("k").alias("__k"), C("fragment_id").alias(f"{key}_id"), C("text").alias(f"{key}_text"))
+        out = out.join(own, (C("language") == C("__l")) & (C(key) == C("__k")), how).drop("__l", "__k")
+    text = F.concat_ws("\n\n", "greeting_k_text", "body_k_text", "second_k_text", "signature_k_text")
+    ids = F.concat(F.concat_ws("+", "greeting_k_id", "body_k_id", "signature_k_id"), F.lit("#"), C("nth").cast("string"))
+    return out.select(ids.alias("template_id"), "language", text.alias("text"))
+
+
+def literal_layer(templates: DataFrame, renders: int) -> DataFrame:
+    """template_id, language, render, text, spans of templates (…, values: array of struct(value, label)) whose spans are literal: common words as names, and,
+    without any values, the same words as words. A value that isn't in its text, in order, is an error."""
+    found = locate_in_order(C("text"), F.transform("values", lambda v: v["value"]))
+    checked = F.when(found.isNotNull(), found).otherwise(F.from_json(F.raise_error(F.concat(F.lit("values are missing in "), C("template_id"))).cast("string"), "array<struct<start:int,end:int,value:string>>"))
+    spans = F.zip_with(checked, F.col("values"), lambda f, v: F.struct(f["start"].alias("start"), f["end"].alias("end"), v["label"].alias("label")))
+    rows = templates.withColumn("values", F.filter(F.coalesce("values", F.array().cast("array<struct<value:string,label:string>>")), lambda v: v["value"] != ""))
+    return rows.withColumn("spans", spans).select("template_id", "language", F.explode(F.sequence(F.lit(0), F.lit(renders - 1))).alias("render"), "text", "spans")
+
+
+def layers(templates: DataFrame, seed: int, scale: float = 1.0) -> DataFrame:
+    """id, template_id, language, source, text, spans, noise: all synthetic layers in their volumes. templates: template_id, language, layer, part, text, values.
+
+    scale multiplies the volumes, which are per language for e-mails and per template for the other layers.
+    """
+    times = lambda n: max(1, round(n * scale))
+    emails = templates.sparkSession.createDataFrame([(k, times(n)) for k, n in EMAILS.items()], "language string, n int")
+    parts = [render(compose_emails(templates.where("layer = 'emails'").withColumnRenamed("template_id", "fragment_id"), emails, seed), 1, seed).withColumn("layer", F.lit("emails"))]
+    for layer, n in VOLUMES.items():
+        own = templates.where(C("layer") == layer)
+        made = literal_layer(own, times(n)) if layer in ("common_word", "adversarial") else render(own, times(n), seed)
+        parts.append(made.withColumn("layer", F.lit(layer)))
+    whole = with_noise(reduce(DataFrame.unionByName, parts), seed)
+    source = F.concat(F.lit("synthetic_"), C("layer"))
+    return whole.select(F.concat_ws("__", source, "template_id", "render").alias("id"), "template_id", "language", source.alias("source"), "text", "spans", "noise")
+
+
+# -- texts that a model writes around given values
+
+PAYLOADS = {"customer_record": ["private_person", "private_address", "private_email", "private_phone", "account_number"], "dev_chat": ["secret", "private_person", "private_email"], "incident_report": ["secret", "private_person", "private_phone", "private_email"]}
+
+
+def payload(template: Column, language: Column, h: Column) -> Column:
+    """array of struct(label, value): what a text of the template must hold; reports are in English, secrets of thirteen kinds."""
+    out = None
+    for name_, labels in PAYLOADS.items():
+        tongue = F.lit("en") if name_ == "incident_report" else language
+        made = F.array(*(F.struct(F.lit(x).alias("label"), (secret(sub(h, 90 + i), among=SECRET_KINDS) if x == "secret" else value(F.lit(x), F.lit("first_last") if x == "private_person" else F.lit(None).cast("string"), sub(h, 90 + i), tongue)).alias("value")) for i, x in enumerate(labels)))
+        out = F.when(template == name_, made) if out is None else out.when(template == name_, made)
+    return out
+
+
+_WRITTEN = "template string, language string, attempt long, values array<struct<label:string,value:string>>, text string"
+
+
+def slot_fill(targets: DataFrame, connect: Callable[[], Callable[[list[str], list[list[str]]], list[str]]], seed: int, rounds: int = 10) -> DataFrame:
+    """id, template, language, text, spans: of each (template, language) as many texts as `target` says. targets: template, language, target.
+
+    connect is called once per partition and gives a function from prompts' templates and values to texts. A text is kept if it has all values once, in any order, else its
+    place is asked for again, with a new payload, in the next round; after `rounds` rounds what is still missing stays missing. What a round kept is written to the shared folder.
+    """
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = connect()
+        for batch in batches:
+            if len(batch):
+                texts = call(batch["template"].tolist(), [[v["value"] for v in values] for values in batch["values"]])
+                yield batch.assign(text=texts)[["template", "language", "attempt", "values", "text"]]
+
+    keys, kept = ["template", "language"], None
+    for turn in range(rounds):
+        have = targets if kept is None else targets.join(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("have")), keys, "left")
+        missing = have.withColumn("missing", C("target") - (F.lit(0) if kept is None else F.coalesce("have", F.lit(0)))).where("missing > 0")
+        if turn and missing.isEmpty():
+            break
+        asks = missing.select(*keys, F.explode(F.sequence(F.lit(1), C("missing").cast("int"))).alias("k"))
+        asks = asks.select(*keys, (F.lit(turn * 1_000_000_000_000) + C("k")).cast("long").alias("attempt"))
+        drafts = asks.withColumn("values", payload(C("template"), C("language"), seed_of(seed, C("template"), C("language"), C("attempt")))).where("values is not null")
+        written = drafts.mapInPandas(write, _WRITTEN)
+        placed = F.transform("values", lambda v: F.struct((F.position(v["value"], C("text")) - 1).cast("int").alias("start"), (F.position(v["value"], C("text")) - 1 + F.length(v["value"])).cast("int").alias("end"), v["label"].alias("label")))
+        good = cut(written.where("text is not null").withColumn("spans", by_start_end(placed)).where(~F.exists("spans", lambda s: s["start"] < 0) & invalid_reason(C("text"), C("spans")).isNull()).select(*keys, "attempt", "text", "spans"))
+        kept = good if kept is None else kept.unionByName(good)
+    number_ = F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))
+    return kept.withColumn("n", number_).select(F.concat_ws("#", F.lit("synthetic"), *keys, "n").alias("id"), *keys, "text", "spans")

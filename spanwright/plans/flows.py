@@ -18,7 +18,10 @@ C = F.col
 
 @query("s08_split_by_language", "SELECT doc_id, lang FROM documents WHERE source = 'src1' AND lang IN ('de', 'fr')")
 def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").where((C("source") == "src1") & C("lang").isin("de", "fr")).select("doc_id", "lang")
+    """A published split and languages, which reach the scan. The documents' source and lang stand for them."""
+    from spanwright.sources.readers import read_split
+
+    return read_split(spark, f"{sf_dir}/documents.parquet", "src1", ["de", "fr"], split_col="source", language_col="lang").select("doc_id", "lang")
 
 
 @query("s15_inputs", "SELECT CAST(conv_id AS VARCHAR) || '#' || CAST(turn AS VARCHAR) AS id, CASE WHEN turn % 2 = 0 THEN 'de_ch' ELSE 'fr_ch' END AS language FROM conversations WHERE turn % 5 <> 4 AND coalesce(text, '') <> '' AND NOT (role = 'assistant' AND turn % 3 = 1)")
@@ -69,7 +72,8 @@ def r01_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r02_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 to R6 as a stream over the shared folder: pieces written there, restored by state, read back and joined in order."""
     from spanwright.streaming.restore import restore_stream
-    from spanwright.streaming.shared import folder
+    from spanwright.session import cut
+    from spanwright.streaming.shared import folder, remove
 
     base = f"{folder(spark)}/restore-{uuid.uuid4().hex}"
     source = deltas(spark, sf_dir)
@@ -83,5 +87,6 @@ def r02_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         run.awaitTermination()
     finally:
         spark.conf.set(store, before)
-    rows = spark.read.parquet(f"{base}/out").groupBy("session_id", "channel").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("x"))
+    rows = cut(spark.read.parquet(f"{base}/out").groupBy("session_id", "channel").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("x")))
+    remove(spark, base)  # the stream's files; what it gave is written
     return rows.select("session_id", C("channel").cast("long").alias("channel"), F.array_join(C("x.text"), "").alias("text"))

@@ -31,11 +31,11 @@ def _surfaces(rows: DataFrame) -> DataFrame:
 
 @query("g01_render")
 def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per text; the test holds the spans against their checks."""
+    """A row per text; the test holds the spans against their checks."""
     return rendered(spark, sf_dir).select("template_id", "language", "render", "text", F.size("spans").alias("n_spans"))
 
 
-@query("g06_check_digits", "SELECT 'account_number' AS label, 4 * 2 * count(*) AS n, 4 * 2 * count(*) AS n_valid FROM orders")
+@query("g06_check_digits", "SELECT 'account_number' AS label, 4 * 2 * count(*) AS n, 4 * 2 * count(*) AS n_valid FROM orders")  # no account fails its check
 def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every generated account passes its own check."""
     v = C("surface")
@@ -57,19 +57,68 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("o_orderkey", C("c.text").alias("text"), C("c.spans")[0]["start"].alias("s1"), C("c.spans")[1]["start"].alias("s2"))
 
 
-@query("g12_pairs_and_negatives", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 6 END AS s FROM orders")
+_PAIRS = "CASE o_orderkey % 3 WHEN 0 THEN 'Frau Frei und ' WHEN 1 THEN 'Der Platz ist frei, ' ELSE 'Frei: Herr Frei und ' END || 'x' || CAST(o_custkey AS STRING) || ' Koch'"
+
+
+@query("g12_pairs_and_negatives", f"SELECT o_orderkey, r.r AS render, CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE CAST(instr(text, 'Frei') - 1 AS INTEGER) END AS s1, CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE CAST(instr(text, 'Koch') - 1 AS INTEGER) END AS s2 FROM (SELECT o_orderkey, {_PAIRS} AS text FROM orders), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS r) r")
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common words as names, and the same words as words, without spans."""
-    from spanwright.functions.spans import locate_in_order
+    """Common words as names, found in order, and the same words as words, without spans."""
+    one = lambda v: F.struct(F.lit(v).alias("value"), F.lit("private_person").alias("label"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PAIRS).alias("text"), F.when(C("o_orderkey") % 3 != 1, F.array(one("Frei"), one(""), one("Koch"))).alias("values"))
+    made = synth.literal_layer(rows.select(C("o_orderkey").cast("string").alias("template_id"), F.lit("de_ch").alias("language"), "text", "values"), 2)
+    return made.select(C("template_id").cast("long").alias("o_orderkey"), "render", F.get("spans", F.lit(0))["start"].alias("s1"), F.get("spans", F.lit(1))["start"].alias("s2"))
+
+
+@query("g10_emails", "SELECT 'en' AS language, 'T' || CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS n, true AS in_parts FROM customer GROUP BY c_nationkey UNION ALL SELECT 'rm', 'T' || CAST(c_nationkey AS VARCHAR), count(*), true FROM customer WHERE c_nationkey < 5 GROUP BY c_nationkey")
+def g10_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many e-mails of a language and sender as asked for, each of three or four fragments of its own language, one of each part."""
+    customers = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    asked = customers.select(F.concat(F.lit("en/T"), C("c_nationkey").cast("string")).alias("language"), "n").union(customers.where("c_nationkey < 5").select(F.concat(F.lit("rm/T"), C("c_nationkey").cast("string")), "n"))
+    fragments = spark.createDataFrame([(f"{p}{i}", c, p, f"{c} {p} {i}") for c in ("en", "rm") for p in ("greeting", "body", "signature") for i in range(3)], "fragment_id string, code string, part string, text string")
+    own = asked.select("language").join(fragments, F.substring_index("language", "/", 1) == C("code")).drop("code")
+    made = synth.compose_emails(own, asked, SEED)
+    code = F.substring_index("language", "/", 1)
+    good = C("text").rlike(r"\A(en|rm) greeting \d\n\n(\1 body \d\n\n){1,2}\1 signature \d\z") & C("text").startswith(code) & ~C("text").rlike(r"body (\d)\n\n.. body \1")
+    return made.groupBy(code.alias("language"), F.substring_index("language", "/", -1).alias("nation")).agg(F.count_distinct("template_id").alias("n"), F.bool_and(good).alias("in_parts"))
+
+
+#: Renders of the library's templates at a hundredth of the volumes.
+_LAYERS = [("emails", "de_ch", 120), ("emails", "en", 20), ("emails", "fr_ch", 80), ("emails", "it_ch", 60), ("emails", "rm", 30), ("adversarial", "de_ch", 2), ("common_word", "de_ch", 2), ("common_word", "fr_ch", 2), ("docs", "de_ch", 6), ("forms", "de_ch", 4), *(("multilang_docs", c, 14) for c in ("de_ch", "en", "fr_ch", "it_ch", "rm")), ("rm_secrets", "rm", 2), ("short_form", "de_ch", 2), *(("short_form", c, 1) for c in ("en", "fr_ch", "it_ch", "rm"))]
+
+
+@query("g14_layers", "SELECT * FROM (VALUES " + ", ".join(f"('synthetic_{a}', '{b}', CAST({n} AS BIGINT), true)" for a, b, n in _LAYERS) + ") t(source, language, n, stand)")
+def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers from templates (S12) in their volumes, with noise; every span stands."""
+    from spanwright.functions.spans import invalid_reason
+    from spanwright.sources.readers import read_templates
+
+    rows = synth.layers(read_templates(spark), SEED, 0.01)
+    return rows.groupBy("source", "language").agg(F.count_distinct("id").alias("n"), F.bool_and(invalid_reason(C("text"), C("spans")).isNull()).alias("stand"))
+
+
+def _forgetful():
+    """A writer of texts that now and then leaves a value out."""
+    import zlib
+
+    def write(names: list[str], values: list[list[str]]) -> list[str]:
+        return [f"{name}: " + ", ".join(v[: -1 if zlib.crc32("".join(v).encode()) % 3 == 0 else None]) + "." for name, v in zip(names, values)]
+
+    return write
+
 
-    text = F.when(C("o_orderkey") % 2 == 0, "Herrn Frei kenne ich.").otherwise("Der Platz ist frei.")
-    values = F.when(C("o_orderkey") % 2 == 0, F.array(F.lit("Frei"))).otherwise(F.array().cast("array<string>"))
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.get(locate_in_order(text, values), F.lit(0))["start"].alias("s"))
+@query("g15_slot_fill", "SELECT template, language, CAST(sum(target) AS BIGINT) AS n, true AS complete FROM (SELECT ['customer_record', 'dev_chat', 'incident_report'][CAST(n_nationkey % 3 AS BIGINT) + 1] AS template, CASE WHEN n_regionkey < 2 THEN 'fr_ch' ELSE 'de_ch' END AS language, n_nationkey % 5 + 1 AS target FROM nation) GROUP BY 1, 2")
+def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many texts of each kind as asked for, with all values of their payload; what a writer left out is asked for again."""
+    template = F.get(F.array(*(F.lit(x) for x in sorted(synth.PAYLOADS))), (C("n_nationkey") % 3).cast("int"))
+    targets = load(spark, sf_dir, "nation").groupBy(template.alias("template"), F.when(C("n_regionkey") < 2, "fr_ch").otherwise("de_ch").alias("language")).agg(F.sum(C("n_nationkey") % 5 + 1).alias("target"))
+    made = synth.slot_fill(targets, _forgetful, SEED)
+    sizes = F.create_map(*(x for k, v in synth.PAYLOADS.items() for x in (F.lit(k), F.lit(len(v)))))
+    return made.groupBy("template", "language").agg(F.count_distinct("id").alias("n"), F.bool_and(F.size("spans") == sizes[C("template")]).alias("complete"))
 
 
 @query("g13_noise")
 def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per text; the test holds the surfaces before and after against each other."""
-    rows = rendered(spark, sf_dir).withColumn("x", synth.once(synth.noise(C("text"), C("spans"), synth.seed_of(SEED, C("template_id"), C("render")), 60)))
+    rows = rendered(spark, sf_dir).withColumn("x", synth.once(synth.noise(C("text"), C("spans"), synth.seed_of(SEED, C("template_id"), C("render")))))
     same = F.zip_with("spans", "x.spans", lambda a, b: F.substring(C("text"), a["start"] + 1, a["end"] - a["start"]) == F.substring(C("x.text"), b["start"] + 1, b["end"] - b["start"]))
     return rows.select("template_id", "render", C("x.kind").alias("kind"), F.forall(same, lambda t: t).alias("aligned"), C("x.text").alias("text"))

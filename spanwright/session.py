@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the folder that all executors share (spark.checkpoint.dir), its lineage cut; survives the loss of executors.
+
+    Only a local session without such a folder gets one of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 #: Bytes of input per core up to which spread() deals rows out.
 SMALL = 32 << 20
 

@@ -9,9 +9,15 @@ from pyspark.sql import SparkSession
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the cluster names it; where it is unset, as in tests, a local one for a local session only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="shared-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
