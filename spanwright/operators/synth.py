@@ -67,19 +67,17 @@ def by_language(language: Column, make: Callable[[str], Column], default: str =
     return out.otherwise(make(default))
 
 
-def drawn(h: Column, n: int, alphabet: str) -> Column:
-    """n characters of an alphabet of 16, 32 or 64, from hashes of h."""
-    per = {16: 15, 32: 12, 64: 10}[len(alphabet)]
-    bits = len(alphabet).bit_length() - 1
-    letters = [F.substring(F.lit(alphabet), (F.shiftright(sub(h, 50 + i // per), (i % per) * bits).bitwiseAND(len(alphabet) - 1) + 1).cast("int"), F.lit(1)) for i in range(n)]
-    return F.concat(*letters)
+_WORD64, _DASH64, _BASE64 = "AZ", "-_", "+/"  # the last two of 64 signs
+_UPPER32, _HEX = "upper", "hex"
 
 
-_WORD64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789AZ"
-_DASH64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
-_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_UPPER32 = "ABCDEFGHIJKLMNOPQRSTUVWX23456789"
-_HEX = "0123456789abcdef"
+def drawn(h: Column, n: int, alphabet: str) -> Column:
+    """n signs drawn by a digest of h, in one compiled call or two: letters and digits and two more signs (85 at most), capitals and 2 to 7, or hexadecimal digits (128 at most)."""
+    if alphabet == _UPPER32:
+        halves = [F.lpad(F.conv(F.pmod(sub(h, 50 + i), F.lit(1 << 40)).cast("string"), 10, 32), 8, "0") for i in range(-(-n // 8))]
+        return F.translate(F.substring(F.concat(*halves), 1, n), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    digest = F.sha2(sub(h, 50).cast("string"), 512)
+    return F.substring(digest, 1, n) if alphabet == _HEX else F.substring(F.translate(F.base64(F.unhex(digest)), "+/\r\n", alphabet), 1, n)
 
 
 def pad(number: Column, n: int) -> Column:
@@ -492,7 +490,8 @@ def payload(template: Column, language: Column, h: Column) -> Column:
     out = None
     for name_, labels in PAYLOADS.items():
         tongue = F.lit("en") if name_ == "incident_report" else language
-        made = F.array(*(F.struct(F.lit(x).alias("label"), (secret(sub(h, 90 + i), among=SECRET_KINDS) if x == "secret" else value(F.lit(x), F.lit("first_last") if x == "private_person" else F.lit(None).cast("string"), sub(h, 90 + i), tongue)).alias("value")) for i, x in enumerate(labels)))
+        make = {"secret": lambda g: secret(g, among=SECRET_KINDS), "private_person": lambda g: name(g, tongue, F.lit("first_last")), "private_email": lambda g: email(g, tongue), "private_phone": phone, "private_address": lambda g: address(g, tongue), "account_number": iban}  # noqa: B023
+        made = F.array(*(F.struct(F.lit(x).alias("label"), make[x](sub(h, 90 + i)).alias("value")) for i, x in enumerate(labels)))
         out = F.when(template == name_, made) if out is None else out.when(template == name_, made)
     return out
 
@@ -520,8 +519,9 @@ def slot_fill(targets: DataFrame, connect: Callable[[], Callable[[list[str], lis
         if turn and missing.isEmpty():
             break
         asks = missing.select(*keys, F.explode(F.sequence(F.lit(1), C("missing").cast("int"))).alias("k"))
-        asks = asks.select(*keys, (F.lit(turn * 1_000_000_000_000) + C("k")).cast("long").alias("attempt"))
-        drafts = asks.withColumn("values", payload(C("template"), C("language"), seed_of(seed, C("template"), C("language"), C("attempt")))).where("values is not null")
+        asks = asks.where(C("template").isin(*PAYLOADS)).select(*keys, (F.lit(turn * 1_000_000_000_000) + C("k")).cast("long").alias("attempt"))
+        seeded = asks.withColumn("h", once(seed_of(seed, C("template"), C("language"), C("attempt"))))
+        drafts = seeded.withColumn("values", payload(C("template"), C("language"), C("h"))).drop("h")
         written = drafts.mapInPandas(write, _WRITTEN)
         placed = F.transform("values", lambda v: F.struct((F.position(v["value"], C("text")) - 1).cast("int").alias("start"), (F.position(v["value"], C("text")) - 1 + F.length(v["value"])).cast("int").alias("end"), v["label"].alias("label")))
         good = cut(written.where("text is not null").withColumn("spans", by_start_end(placed)).where(~F.exists("spans", lambda s: s["start"] < 0) & invalid_reason(C("text"), C("spans")).isNull()).select(*keys, "attempt", "text", "spans"))
