@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.functions import catalogue, checks, spans
-from spanwright.plans.fixtures import PII_DOCS_SQL, WORDS_SQL, load, pii_docs, words
+from spanwright.plans.fixtures import PII_DOCS_SQL, WORDS_SQL, load, pii_docs, word_lists
 from spanwright.plans.registry import query
 
 W = r"[\p{L}\p{N}_]"
@@ -209,10 +209,10 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS grp FROM j)
 SELECT doc_id, min(s) AS s, max(e) AS e, any_value(label) AS label FROM g GROUP BY doc_id, grp""".replace("FROM words", f"FROM ({WORDS_SQL})"),
 )
 def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir).where("(doc_id * 3 + i) % 5 <> 0").withColumn("label", F.when((F.col("doc_id") + F.col("i")) % 4 == 0, "secret").otherwise("private_person"))
-    per = w.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), "label")).alias("x"))
-    merged = spans.merge_adjacent(F.col("text"), spans.by_start_longest(F.col("x")))
-    rows = per.join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(merged).alias("m"))
+    kept = F.filter("w", lambda x: (F.col("doc_id") * 3 + x["i"]) % 5 != 0)
+    label = lambda x: F.when((F.col("doc_id") + x["i"]) % 4 == 0, "secret").otherwise("private_person")
+    own = F.transform(kept, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"), label(x).alias("label")))
+    rows = word_lists(spark, sf_dir).select("doc_id", F.explode(spans.merge_adjacent(F.col("text"), spans.by_start_longest(own))).alias("m"))
     return rows.select("doc_id", F.col("m.start").alias("s"), F.col("m.end").alias("e"), F.col("m.label").alias("label"))
 
 
