@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from spanwright.functions.spans import let, overlaps
 from spanwright.functions.text import precision_recall_f1
+from spanwright.operators.together import span_counts
 
 C = F.col
 COUNTS = ["tp", "fp", "fn"]
@@ -19,30 +20,11 @@ COUNTS = ["tp", "fp", "fn"]
 def row_counts(rows: DataFrame) -> DataFrame:
     """row_id, language, label, tp, fp, fn, char_tp, char_fp, char_fn, n_gold per row and label.
 
-    One shuffle by (row, label); then distinct spans, and characters by a sweep over the spans' ends, never one by one. A long row is
-    as many rows as it has spans, so that no array work is quadratic.
+    Counted where the row lies, over distinct spans, and characters by a sweep over the spans' ends, never one by one; no span is shuffled.
     """
-    side = lambda name, n: F.transform(F.coalesce(name, F.array().cast(dict(rows.dtypes)[name])), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"), F.lit(n).alias("side")))
-    long = rows.select("row_id", "language", F.explode(F.concat(side("gold", 0), side("pred", 1))).alias("x")).select("row_id", "language", "x.*")
-    keys = ["row_id", "language", "label"]
-    dealt = long.repartition(*keys)
-    spans = dealt.groupBy(*keys, "start", "end").agg(F.count_if(C("side") == 0).alias("n_gold"), F.count_if(C("side") == 1).alias("n_pred"))
-    g, p = (C("n_gold") > 0).cast("int"), (C("n_pred") > 0).cast("int")
-    counted = spans.select(*keys, "start", "end", "n_gold", g.alias("g"), p.alias("p"))
-    # at its start a span brings its counts and covers characters, at its end it covers them no longer
-    wide = C("end") > C("start")
-    begin = F.struct(C("start").alias("at"), F.when(wide, C("g")).otherwise(0).alias("dg"), F.when(wide, C("p")).otherwise(0).alias("dp"), (C("g") * C("p")).alias("tp"), (C("p") * (1 - C("g"))).alias("fp"), (C("g") * (1 - C("p"))).alias("fn"), C("n_gold"))
-    zero = F.lit(0)
-    finish = F.struct(C("end").alias("at"), F.when(wide, -C("g")).otherwise(0).alias("dg"), F.when(wide, -C("p")).otherwise(0).alias("dp"), zero.alias("tp"), zero.alias("fp"), zero.alias("fn"), zero.cast("long").alias("n_gold"))
-    events = counted.select(*keys, F.explode(F.array(begin, finish)).alias("v")).select(*keys, "v.*")
-    places = events.groupBy(*keys, "at").agg(*(F.sum(c).alias(c) for c in ("dg", "dp", "tp", "fp", "fn", "n_gold")))
-    order = Window.partitionBy(*keys).orderBy("at")
-    swept = places.withColumns({"cg": F.sum("dg").over(order) > 0, "cp": F.sum("dp").over(order) > 0, "width": F.lead("at").over(order) - C("at")})
-    width = lambda where: F.sum(F.when(where, F.coalesce("width", F.lit(0))).otherwise(0))
-    return swept.groupBy(*keys).agg(
-        *(F.sum(c).alias(c) for c in COUNTS),
-        width(C("cg") & C("cp")).alias("char_tp"), width(~C("cg") & C("cp")).alias("char_fp"), width(C("cg") & ~C("cp")).alias("char_fn"), F.sum("n_gold").alias("n_gold"),
-    )
+    spans = lambda name: F.transform(name, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label")))
+    counted = rows.select("row_id", "language", F.explode(span_counts(spans("gold"), spans("pred"))).alias("x"))
+    return counted.select("row_id", "language", "x.*")
 
 
 def totals(counts: DataFrame, keys: list[str]) -> DataFrame:
