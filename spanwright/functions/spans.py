@@ -82,9 +82,27 @@ def drop_overlapping(spans: Column, kind: str) -> Column:
     return F.aggregate(spans, begin, lambda acc, s: F.when(s["start"] >= acc["last"], add(acc, s)).otherwise(acc), lambda acc: acc["out"])
 
 
+MERGED = "struct<start:int,end:int,label:string>"
+
+
 def merge_adjacent(text: Column, spans: Column) -> Column:
     """Of spans in order: invalid ones and those that overlap an earlier one go; neighbours of one label with at most one
     white-space character between become one span."""
+    bare = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label")))
+    valid = F.filter(bare, lambda s: (s["start"] >= 0) & (s["end"] <= F.length(text)) & (s["start"] < s["end"]))
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        gap = F.substring(text, last["end"] + 1, s["start"] - last["end"])
+        joins = (s["label"] == last["label"]) & gap.rlike(rf"\A[{BLANK}]?\z")
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"), last["label"].alias("label"))))
+        return F.when(F.size(out) == 0, F.array(s)).when(s["start"] < last["end"], out).when(joins, joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(valid, F.array().cast(f"array<{MERGED}>"), step)
+
+
+def merge_adjacent_long(text: Column, spans: Column) -> Column:
+    """merge_adjacent for texts with many spans, in Arrow; not for use inside of other functions' lambdas, into which Spark may pull it."""
     return kernels.merged(text, spans)
 
 

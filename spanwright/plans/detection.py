@@ -212,7 +212,7 @@ def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.filter("w", lambda x: (F.col("doc_id") * 3 + x["i"]) % 5 != 0)
     label = lambda x: F.when((F.col("doc_id") + x["i"]) % 4 == 0, "secret").otherwise("private_person")
     own = F.transform(kept, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"), label(x).alias("label")))
-    rows = word_lists(spark, sf_dir).select("doc_id", F.explode(spans.merge_adjacent(F.col("text"), spans.by_start_longest(own))).alias("m"))
+    rows = word_lists(spark, sf_dir).select("doc_id", F.explode(spans.merge_adjacent_long(F.col("text"), spans.by_start_longest(own))).alias("m"))
     return rows.select("doc_id", F.col("m.start").alias("s"), F.col("m.end").alias("e"), F.col("m.label").alias("label"))
 
 
