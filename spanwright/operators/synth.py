@@ -334,19 +334,17 @@ def once(made: Column) -> Column:
 def render(templates: DataFrame, renders: int | Column, seed: int) -> DataFrame:
     """template_id, language, render, text, spans: each template `renders` times. templates: template_id (unique), language, text.
 
-    A template's markers are found once. Each slot of each render is a row, whose value compiled code makes; one shuffle brings a
-    render's slots together. The names and titles of a render are of one gender.
+    A row per render goes to Arrow, where markers are found, values made and texts put together (operators.slots), without a shuffle. The names and titles
+    of a render are of one gender.
     """
+    from spanwright.operators import slots
+
     count = F.lit(renders) if isinstance(renders, int) else renders
-    parsed = spread(templates).select("template_id", "language", count.alias("renders"), once(slots_of(C("text"))).alias("slots"))
-    rows = parsed.where("renders > 0").select("template_id", "language", "slots", F.explode(F.sequence(F.lit(0), (C("renders") - 1).cast("int"))).alias("render"))
-    slots = rows.select("template_id", "language", "render", F.explode("slots").alias("s")).select("template_id", "language", "render", "s.*")
-    h = seed_of(seed, C("template_id"), C("render"), C("n"))
+    rows = spread(templates).select("template_id", "language", "text", count.alias("renders")).where("renders > 0").select("template_id", "language", "text", F.explode(F.sequence(F.lit(0), (C("renders") - 1).cast("int"))).alias("render"))
+    h = F.xxhash64(F.lit(seed), C("template_id"), C("render"))
     female = F.pmod(seed_of(seed, C("template_id"), C("render"), F.lit("gender")), F.lit(2)) == 0
-    valued = slots.withColumns({"h": h, "female": female}).withColumn("value", F.when(C("label").isNotNull(), value(C("label"), C("fmt"), C("h"), C("language"), C("female"))))
-    whole = valued.groupBy("template_id", "language", "render").agg(F.array_sort(F.collect_list(F.struct("n", "gap", "value", "label"))).alias("slots"))
-    made = whole.select("template_id", "language", "render", once(join_slots(C("slots"))).alias("f"))
-    return made.select("template_id", "language", "render", C("f.text").alias("text"), C("f.spans").alias("spans"))
+    kinds = dict(templates.dtypes)
+    return rows.select("template_id", "language", "render", "text", h.alias("h"), female.alias("female")).mapInArrow(slots.rendered, f"template_id {kinds['template_id']}, language string, render int, text string, spans {SPANS}")
 
 
 def compose(parts: Column, glue: str = "\n\n") -> Column:
@@ -373,51 +371,9 @@ def noise(text: Column, spans: Column, h: Column, share: int = NOISE) -> Column:
 
     Each kind is a list of edits (place, characters that go, what comes); spans move by the edits before them.
     """
-    kind = F.when(F.pmod(h, F.lit(100)) < share, pick(sub(h, 1), NOISE_KINDS)).otherwise("none")
-    edit = lambda at, gone, put: F.struct(at.cast("int").alias("at"), F.lit(gone).alias("gone"), put.alias("put"))
-    none = F.array().cast("array<struct<at:int,gone:int,put:string>>")
-    char = lambda p: F.substring(text, p + 1, F.lit(1))
-    inside = lambda p: F.exists(spans, lambda s: (s["start"] <= p) & (p < s["end"]))
-    places = lambda test: F.filter(F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>")), lambda p: test(p) & ~inside(p))
-    one = lambda found, make: F.when(F.size(found) > 0, let(F.get(found, F.pmod(sub(h, 2), F.greatest(F.size(found), F.lit(1))).cast("int")), lambda p: F.array(make(p)))).otherwise(none)
-    mapped = lambda table, p: reduce(lambda w, x: w.when(char(p) == x[0], x[1]), list(table.items())[1:], F.when(char(p) == next(iter(table)), next(iter(table.values()))))
-    drawn_at = lambda p: F.pmod(F.xxhash64(h, p), F.lit(1 << 40))
-
-    def caps(found: Column) -> Column:
-        n = F.greatest(F.lit(1), F.floor(F.size(found) / 20)).cast("int")
-        first = F.slice(F.array_sort(F.transform(found, lambda p: F.struct(drawn_at(p).alias("d"), p.alias("p")))), F.lit(1), n)
-        flip = lambda p: F.when(F.lower(char(p)) == char(p), F.upper(char(p))).otherwise(F.lower(char(p)))
-        return F.array_sort(F.transform(first, lambda x: edit(x["p"], 1, F.substring(flip(x["p"]), 1, 1))))
-
-    blank = lambda p: char(p) == " "
-    wrap = pick(sub(h, 3), ["**", "*", "_"])
-    target = F.get(spans, F.pmod(sub(h, 2), F.greatest(F.size(spans), F.lit(1))).cast("int"))
-    entities = {k: f"&{v};" for k, v in _ENTITIES.items()}
-
-    def edits(k: Column) -> Column:
-        return (
-            F.when(k == "nbsp", F.transform(places(lambda p: blank(p) & (F.pmod(drawn_at(p), F.lit(100)) < 40)), lambda p: edit(p, 1, F.lit("\u00a0"))))
-            .when(k == "broken_caps", let(places(lambda p: char(p).rlike(r"\p{L}")), caps))
-            .when(k == "no_space", let(places(lambda p: blank(p) & ~inside(p - 1) & ~inside(p + 1)), lambda f: one(f, lambda p: edit(p, 1, F.lit("")))))
-            .when(k == "html_entity", let(places(lambda p: char(p).isin(*entities)), lambda f: one(f, lambda p: edit(p, 1, mapped(entities, p)))))
-            .when(k == "stray_punct", let(places(lambda p: blank(p) & ~inside(p - 1)), lambda f: one(f, lambda p: edit(p, 0, pick(sub(h, 3), [",", ";", "."])))))
-            .when(k == "ocr_swap", let(places(lambda p: char(p).isin(*_LOOKALIKES)), lambda f: one(f, lambda p: edit(p, 1, mapped(_LOOKALIKES, p)))))
-            .when((k == "markdown") & (F.size(spans) > 0), F.array(edit(target["start"], 0, wrap), edit(target["end"], 0, wrap))).otherwise(none)
-        )
-
-    def applied(found: Column) -> Column:
-        step = lambda acc, e: F.struct((e["at"] + e["gone"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["at"] - acc["at"]), e["put"]).alias("out"))
-        new = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-        def moved(s: Column) -> Column:
-            before = F.filter(found, lambda e: (e["at"] < s["start"]) | ((e["at"] == s["start"]) & (e["gone"] == 0)))
-            return let(F.aggregate(before, F.lit(0), lambda n, e: n + F.length(e["put"]) - e["gone"]), lambda d: F.struct((s["start"] + d).cast("int").alias("start"), (s["end"] + d).cast("int").alias("end"), s["label"].alias("label")))
-
-        return F.struct(new.alias("text"), F.transform(spans, moved).alias("spans"))
-
-    whole = lambda k: let(let(edits(k), applied), lambda x: F.struct(x["text"].alias("text"), x["spans"].alias("spans"), k.alias("kind")))
-    same = F.struct(text.alias("text"), F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"))).alias("spans"), F.lit("none").alias("kind"))
-    return let(kind, lambda k: F.when(k == "none", same).otherwise(whole(k)))
+    from spanwright.operators.slots import noisy
+
+    return noisy(text, spans, h, F.lit(share).cast("long"))
 
 
 def with_noise(rows: DataFrame, seed: int, share: int = NOISE) -> DataFrame:

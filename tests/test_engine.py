@@ -238,6 +238,38 @@ def test_generated_spans_stand(spark):
     assert changed.where(~same).isEmpty() and changed.where(spans.invalid_reason(C("t2"), C("s2")).isNotNull()).isEmpty()
 
 
+def test_values_of_many_slots_are_those_of_the_columns(spark):
+    labels = ["private_person", "private_email", "private_phone", "private_date", "private_address", "private_url", "account_number", "secret", "unknown"]
+    formats = ["", "/ahv", "/vat", "/card", "/street_only", "/with_canton", "/common_word", "/last_first_upper", "/password", "/hex64", "/access_id", "/odd"]
+    rows = [(f"t{i}", [*synth.POOLS, "xx", None][i % 7], f"ä{i} " + " ,ü".join(f"[[PII:{x}{formats[(i + 5 * j) % len(formats)]}]]" for j, x in enumerate(labels)) + " [[PII:Bad]]") for i in range(84)]
+    rows += [("none", "en", None), ("plain", "en", "no marker"), ("empty", "en", "")]
+    t = spark.createDataFrame(rows, "template_id string, language string, text string")
+    made = synth.render(t, 3, 5)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()  # no shuffle of slots
+    parsed = t.select("template_id", "language", synth.once(synth.slots_of(C("text"))).alias("slots")).crossJoin(spark.range(3).select(C("id").cast("int").alias("render")))
+    slots = parsed.select("template_id", "language", "render", F.explode("slots").alias("s")).select("template_id", "language", "render", "s.*")
+    h, female = synth.seed_of(5, C("template_id"), C("render"), C("n")), F.pmod(synth.seed_of(5, C("template_id"), C("render"), F.lit("gender")), F.lit(2)) == 0
+    valued = slots.withColumn("h", synth.once(h)).withColumn("value", F.when(C("label").isNotNull(), synth.value(C("label"), C("fmt"), C("h"), C("language"), female)))
+    rowwise = valued.groupBy("template_id", "language", "render").agg(F.array_sort(F.collect_list(F.struct("n", "gap", "value", "label"))).alias("slots"))
+    expected = {(r[0], r[1]): r[2] for r in rowwise.select("template_id", "render", synth.once(synth.join_slots(C("slots")))).collect()}
+    got = {(r["template_id"], r["render"]): (r["text"], r["spans"]) for r in made.collect()}
+    assert len(got) == 3 * len(rows) and got == {k: tuple(v) for k, v in expected.items()}
+
+
+def test_noise_of_odd_texts(spark):
+    rows = [(None, []), ("", []), ("a b  c", None), ("ß x é", [(0, 1, "a"), (2, 3, "b")]), ("x", [(0, 1, "a")])]
+    t = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int,label:string>>").crossJoin(spark.range(60))
+    noisy = synth.noise(C("text"), C("spans"), synth.seed_of(2, C("id")), 100)
+    assert "ArrowEvalPython" in t.select(noisy)._jdf.queryExecution().executedPlan().toString()  # not a walk over each text's places from its beginning
+    out = t.select("text", "spans", synth.once(noisy).alias("x")).select("text", "spans", "x.*", C("x.text").alias("t2"), C("x.spans").alias("s2")).collect()
+    assert {r["kind"] for r in out} == set(synth.NOISE_KINDS)
+    for r in out:
+        if not r[0] or r[1] is None:
+            assert (r["t2"], r["s2"]) == (r[0], r[1])
+        else:
+            assert [r[0][a:b] for a, b, _ in r[1]] == [r["t2"][a:b] for a, b, _ in r["s2"]]
+
+
 def test_bioes_round_trip_and_repair(spark):
     offsets = [(0, 0), (0, 3), (4, 7), (8, 9)]
     offset_type = "array<struct<a:int,b:int>>"
