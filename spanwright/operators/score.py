@@ -15,6 +15,7 @@ from spanwright.operators.together import span_counts
 
 C = F.col
 COUNTS = ["tp", "fp", "fn"]
+SPANS = "array<struct<start:int,end:int,label:string>>"
 
 
 def row_counts(rows: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def row_counts(rows: DataFrame) -> DataFrame:
 
     Counted where the row lies, over distinct spans, and characters by a sweep over the spans' ends, never one by one; no span is shuffled.
     """
-    spans = lambda name: F.transform(name, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label")))
+    kinds = dict(rows.dtypes)  # a walk over spans that are as they should be costs more than their counts
+    spans = lambda name: C(name) if kinds[name] == SPANS else F.transform(name, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label")))
     counted = rows.select("row_id", "language", F.explode(span_counts(spans("gold"), spans("pred"))).alias("x"))
     return counted.select("row_id", "language", "x.*")
 

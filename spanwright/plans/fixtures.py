@@ -76,18 +76,18 @@ WHERE length(value) > 0
 """
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(load(spark, sf_dir, "documents").selectExpr("doc_id", f"{LANGUAGE} AS lang", "source", "text"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, i, value, s, e: all words of the whole texts with their offsets, a row each; no shuffle."""
-    return _texts(spark, sf_dir).mapInArrow(kernels.word_rows, "doc_id long, lang string, source string, i int, value string, s int, e int")
+    return texts(spark, sf_dir).mapInArrow(kernels.word_rows, "doc_id long, lang string, source string, i int, value string, s int, e int")
 
 
 def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, text, w: of each document that has words these in order, as struct(i, value, s, e); no shuffle."""
-    return _texts(spark, sf_dir).mapInArrow(kernels.word_lists, "doc_id long, lang string, source string, text string, w array<struct<i:int,value:string,s:int,e:int>>")
+    return texts(spark, sf_dir).mapInArrow(kernels.word_lists, "doc_id long, lang string, source string, text string, w array<struct<i:int,value:string,s:int,e:int>>")
 
 
 def third_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,6 +270,17 @@ def test_noise_of_odd_texts(spark):
             assert [r[0][a:b] for a, b, _ in r[1]] == [r["t2"][a:b] for a, b, _ in r["s2"]]
 
 
+def test_scored_spans_are_made_where_words_are_split(spark):
+    from spanwright.plans import evaluation as E
+    from spanwright.plans.fixtures import word_lists
+
+    rows = E.scored(spark, SF)
+    assert "transform(" not in score.row_counts(rows)._jdf.queryExecution().optimizedPlan().toString().lower()
+    w = word_lists(spark, SF).select(C("doc_id").alias("row_id"), C("lang").alias("language"), "w")
+    by_words = w.select("row_id", "language", E._spans_over("w", E._GOLD, "e", E._CAT).alias("gold"), E._spans_over("w", E._PRED, E._PRED_END, E._PRED_LABEL).alias("pred"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, by_words.collect()))
+
+
 def test_bioes_round_trip_and_repair(spark):
     offsets = [(0, 0), (0, 3), (4, 7), (8, 9)]
     offset_type = "array<struct<a:int,b:int>>"
