@@ -11,11 +11,12 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanwright.functions.kernels import gathered
 from spanwright.operators import session
 
 C = F.col
@@ -129,28 +130,32 @@ def _walk(table: dict, kind, body, change: Change) -> str | None:
     return json.dumps(parsed, ensure_ascii=False, separators=(",", ":"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def body_texts(kind: pd.Series, body: pd.Series) -> pd.Series:
+def _rows(*columns: pa.Array):
+    """Rows of columns, each value made when it is asked for."""
+    return (tuple(x.as_py() for x in row) for row in zip(*columns))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def body_texts(kind: pa.Array, body: pa.Array) -> pa.Array:
     """The texts of request bodies in order."""
-    out = []
-    for k, b in zip(kind, body):
+
+    def texts(k: str | None, b: str | None) -> list[str]:
         found: list[str] = []
-        _walk(REQUESTS, k, b, lambda t, found=found: found.append(t) or t)
-        out.append(found)
-    return pd.Series(out)
+        _walk(REQUESTS, k, b, lambda t: found.append(t) or t)
+        return found
+
+    return gathered((texts(*row) for row in _rows(kind, body)), pa.list_(pa.string()))
 
 
-@F.pandas_udf(T.StringType())
-def with_texts(kind: pd.Series, body: pd.Series, texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def with_texts(kind: pa.Array, body: pa.Array, texts: pa.Array) -> pa.Array:
     """The bodies with their texts, in order, in place of those they had; without any texts the body itself."""
-    out = []
-    for k, b, t in zip(kind, body, texts):
-        if t is None or not len(t):
-            out.append(b)
-        else:
-            turn = iter(t)
-            out.append(_walk(REQUESTS, k, b, lambda _, turn=turn: next(turn)))
-    return pd.Series(out, dtype=object)
+
+    def changed(k: str | None, b: str | None, t: list | None) -> str | None:
+        turn = iter(t or ())
+        return _walk(REQUESTS, k, b, lambda _: next(turn)) if t else b
+
+    return gathered((changed(*row) for row in _rows(kind, body, texts)), pa.string())
 
 
 def resolve_sessions(calls: DataFrame, call_id: str = "call_id") -> DataFrame:
@@ -177,15 +182,15 @@ def anonymise(requests: DataFrame, detect: Callable[[Column], Column], normalize
 _PLACEHOLDER = re.compile(r"<[A-Z][0-9A-Z_]*_\d+>")
 
 
-@F.pandas_udf(T.StringType())
-def restored_bodies(kind: pd.Series, body: pd.Series, marks: pd.Series, surfaces: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def restored_bodies(kind: pa.Array, body: pa.Array, marks: pa.Array, surfaces: pa.Array) -> pa.Array:
     """Response bodies with known placeholders replaced in one pass; unknown ones stay, and a surface is not searched again."""
-    out = []
-    for k, b, m, s in zip(kind, body, marks, surfaces):
+
+    def changed(k: str | None, b: str | None, m: list | None, s: list | None) -> str | None:
         known = {} if m is None else dict(zip(m, s))
-        change = lambda text, known=known: _PLACEHOLDER.sub(lambda hit: known.get(hit[0], hit[0]), text)
-        out.append(_walk(RESPONSES, k, b, change) if known else b)
-    return pd.Series(out, dtype=object)
+        return _walk(RESPONSES, k, b, lambda text: _PLACEHOLDER.sub(lambda hit: known.get(hit[0], hit[0]), text)) if known else b
+
+    return gathered((changed(*row) for row in _rows(kind, body, marks, surfaces)), pa.string())
 
 
 def restore(responses: DataFrame, table: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ import re
 import warnings
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spanwright.functions import spans as S
+from spanwright.functions.kernels import gathered
 from spanwright.functions.text import PLACEHOLDER, WORD, fold, label_tag
 from spanwright.schema import SPAN
 
@@ -87,34 +88,37 @@ def apply_spans(texts: DataFrame, normalizers: dict[str, Callable[[Column], Colu
     return done, table
 
 
-@functools.lru_cache(maxsize=1 << 16)
+#: Patterns that a worker keeps; each takes some kB, and most surfaces are seen in one session only.
+@functools.lru_cache(maxsize=1 << 12)
 def _whole(surface: str) -> re.Pattern:
     return re.compile("(?<!\\w)%s(?!\\w)" % re.escape(surface))
 
 
-@F.pandas_udf(T.StructType([T.StructField("redacted", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))]))
-def recover_occurrences(text: pd.Series, redacted: pd.Series, spans: pd.Series, entries: pd.Series) -> pd.DataFrame:
+def _recovered(t: str | None, r: str | None, found: list | None, known: list | None) -> dict:
+    kept = [] if found is None else [(s["start"], s["end"], s["label"]) for s in found]
+    if known and kept:
+        label_of = {t[a:b]: label for a, b, label in kept}
+        more: list = []
+        for e in sorted(known, key=lambda e: (-len(e["surface"]), e["mark"])):
+            if e["surface"] not in t and e["surface"] not in r:
+                continue
+            whole = _whole(e["surface"])
+            r = whole.sub(lambda _, mark=e["mark"]: mark, r)
+            label = label_of.get(e["surface"])
+            if label is not None:
+                for m in whole.finditer(t):
+                    if not any(m.start() < b and a < m.end() for a, b, _ in kept + more):
+                        more.append((m.start(), m.end(), label))
+        kept = sorted(kept + more) if more else kept
+    return {"redacted": r, "spans": [{"start": a, "end": b, "label": label} for a, b, label in kept]}
+
+
+@F.arrow_udf(T.StructType([T.StructField("redacted", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))]))
+def recover_occurrences(text: pa.Array, redacted: pa.Array, spans: pa.Array, entries: pa.Array) -> pa.Array:
     """Whole-word occurrences of known surfaces, replaced in the redacted text and added to the spans of the text."""
-    out_text, out_spans = [], []
-    for t, r, found, known in zip(text, redacted, spans, entries):
-        kept = [] if found is None else [(s["start"], s["end"], s["label"]) for s in found]
-        if known is not None and len(known) and kept:
-            label_of = {t[a:b]: label for a, b, label in kept}
-            more: list = []
-            for e in sorted(known, key=lambda e: (-len(e["surface"]), e["mark"])):
-                if e["surface"] not in t and e["surface"] not in r:
-                    continue
-                whole = _whole(e["surface"])
-                r = whole.sub(lambda _, mark=e["mark"]: mark, r)
-                label = label_of.get(e["surface"])
-                if label is not None:
-                    for m in whole.finditer(t):
-                        if not any(m.start() < b and a < m.end() for a, b, _ in kept + more):
-                            more.append((m.start(), m.end(), label))
-            kept = sorted(kept + more) if more else kept
-        out_text.append(r)
-        out_spans.append([{"start": a, "end": b, "label": label} for a, b, label in kept])
-    return pd.DataFrame({"redacted": out_text, "spans": out_spans})
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])
+    rows = (_recovered(*(x.as_py() for x in row)) for row in zip(text, redacted, spans, entries))
+    return gathered(rows, pa.struct([("redacted", pa.string()), ("spans", pa.list_(span))]))
 
 
 def restore(text: Column, mapping: Column) -> Column:
